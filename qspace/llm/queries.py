@@ -9,6 +9,7 @@ from qspace.llm.chat_format import chat_format, read_back
 from qspace.llm.common import read
 from qspace.llm.exact_dedup import exact_dedup
 from qspace.llm.line_dedup import line_dedup
+from qspace.llm.sentencepiece_bpe import encode_decode
 
 WHITE = r"[\x20\x09-\x0D]"
 CONTROL_ROWS = ((0, "user"), (1, "assistant"))
@@ -39,6 +40,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(read(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
