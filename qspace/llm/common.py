@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: A side of a join is broadcast up to so many rows of at most about 100 bytes; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
+_shipped: set[str] = set()
 _staged: list[tuple[SparkSession, str]] = []
 
 
@@ -69,6 +72,25 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, wherever the driver imported it from; once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    top = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="qspace-code-")) / "qspace.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(target))
+
+
+def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def records(batch, *names: str) -> Iterator[tuple]:
     """Rows of an Arrow batch, one at a time, so that only one long text is a Python object at once."""
     columns = [batch.column(name) for name in names]

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qspace.llm.common import SPACE, maybe_broadcast, stage
+from qspace.llm.common import SPACE, maybe_broadcast, ship, stage
 
 SHARD_KEYS = 50_000
 FILTER_SCHEMA = "shard int, seed long, segment int, count int, bits binary"
@@ -129,6 +129,7 @@ class Snapshot:
 
     def __init__(self, rows: DataFrame, shards: int):
         self.shards = shards
+        ship(rows.sparkSession)
         self.buckets = stage(_groups(rows), "buckets")
         self.filters = stage(self.sharded(self.buckets).select("shard", "key64").groupBy("shard").applyInPandas(_build, FILTER_SCHEMA), "fuse")
 

@@ -9,6 +9,8 @@ from qspace.llm.chat_format import chat_format, read_back
 from qspace.llm.common import read
 from qspace.llm.exact_dedup import exact_dedup
 from qspace.llm.line_dedup import line_dedup
+from qspace.llm.mixing import mix
+from qspace.llm.quality import quality, train
 from qspace.llm.sentencepiece_bpe import encode_decode
 
 WHITE = r"[\x20\x09-\x0D]"
@@ -40,6 +42,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read(spark, sf_dir, "documents"), with_ids=False)
 
@@ -49,6 +55,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality(docs, train(docs, read(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qspace.llm.common import records
+from qspace.llm.common import arrow_map, records
 
 SPACE_MARK = "▁"
 #: How many words and chunks a worker remembers in each of two generations, and the longest of them; both bound memory only.
@@ -191,4 +191,4 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with_ids, the ids and the decoded text."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_encoder(model or default_model(), with_ids), schema)
+    return arrow_map(rows, _encoder(model or default_model(), with_ids), schema)
