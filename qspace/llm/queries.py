@@ -10,6 +10,7 @@ from qspace.llm.common import read
 from qspace.llm.exact_dedup import exact_dedup
 from qspace.llm.line_dedup import line_dedup
 from qspace.llm.mixing import mix
+from qspace.llm.near_dedup import near_dedup
 from qspace.llm.quality import quality, train
 from qspace.llm.sentencepiece_bpe import encode_decode
 
@@ -55,6 +56,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(read(spark, sf_dir, "documents"), words=2)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality(docs, train(docs, read(spark, sf_dir, "labels")))
