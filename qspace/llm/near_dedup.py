@@ -3,12 +3,14 @@
 A text's set holds the hashes of its word shingles. One permutation scatters them over a ring of 2**32 places; a second one, shifted
 around the ring by 0, 1, 2, ... places, gives all coordinates of the signature, of which 16 bits each are kept. Documents with equal
 sets form a class, and from there on classes stand for their documents. Bands of coordinates put classes into buckets; a candidate
-pair is one from a bucket whose sizes and signatures do not rule the similarity out (PLAY is six standard deviations). Each candidate
-is confirmed on the full sets of both texts. Confirmed links are joined into components by large-star and small-star steps.
-
-No bucket's pairs are all written out: first each class is tried with the likeliest of its buckets' smallest members, then buckets
-that still hold several components are compared in blocks, by signature only, first for each class's likeliest partners and then,
-with what that has joined left out, for all that remain. So each link between two components is found, whatever a bucket's size.
+pair is one from a bucket whose sizes and signatures do not rule the similarity out (PLAY is over four standard deviations). Each
+candidate is confirmed on the full sets of both texts. Confirmed links are joined into components by large-star and small-star steps.
+
+No bucket's pairs are written out: first each class is tried with the likeliest of its buckets' smallest members. Buckets that still
+hold several components are then compared in blocks of a bounded number of classes: first by signature, which leaves the classes
+with a likely partner in another component, then by these classes' full sets, the likeliest pairs first and those left out that a
+link found before has joined; each pair is looked at in the first bucket that it shares. So a link between any two components is
+found, whatever a bucket's size, and a block gives fewer links than it has classes.
 With BANDS x ROWS a pair at the threshold of 0.8 shares no bucket with a chance of about 6e-7.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; with fewer words than a shingle the whole sequence
@@ -33,11 +35,11 @@ WORDS, THRESHOLD = 5, 80
 BANDS, ROWS = 36, 5
 COORDINATES = BANDS * ROWS
 #: By so much may a signature's estimate fall short of the threshold.
-PLAY = 0.18
+PLAY = 0.135
 #: Members of a bucket that are compared with each other in one block.
 BLOCK = 256
-#: Partners of a class that a first comparison of buckets tries.
-TOP = 4
+#: Sets that a task which confirms pairs remembers, with this many hashes in all.
+CACHE_SETS, CACHE_HASHES = 4_000, 4_000_000
 _SHIFTS = np.arange(COORDINATES, dtype=np.uint32)[:, None]
 _M1, _M2 = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
@@ -89,7 +91,7 @@ def _signed(words: int):
 def _bands(classes: DataFrame, *more: str) -> DataFrame:
     width = 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * width + 1, F.lit(width))))
-    return classes.select("rep", *more, F.explode(keys).alias("key"))
+    return classes.select("rep", *more, F.posexplode(keys).alias("band", "key"))
 
 
 def _possible(n_a, n_b, threshold: int):
@@ -110,18 +112,47 @@ def _likely(threshold: int):
     return run
 
 
+def similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
+    """Whether two sorted sets have at least threshold per cent of their union in common."""
+    few, many = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(few):
+        return False
+    at = np.searchsorted(many, few)
+    both = int((many[np.minimum(at, len(many) - 1)] == few).sum())
+    return 100 * both >= threshold * (len(a) + len(b) - both)
+
+
+class _Sets:
+    """Shingle sets by id, the latest ones kept."""
+
+    def __init__(self, words: int):
+        self.words, self.held, self.size = words, {}, 0
+
+    def __call__(self, doc_id: int, text: str) -> np.ndarray:
+        found = self.held.get(doc_id)
+        if found is None:
+            found = shingles(text, self.words)
+            if len(self.held) >= CACHE_SETS or self.size + len(found) > CACHE_HASHES:
+                self.held, self.size = {}, 0
+            self.held[doc_id] = found
+            self.size += len(found)
+        return found
+
+
 def _confirm(words: int, threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, mine = None, None
+        sets = _Sets(words)
         for batch in batches:
+            a, b = (batch.column(c).to_pylist() for c in ("a", "b"))
+            text_a, text_b = batch.column("text_a"), batch.column("text_b")
             out: list[tuple[int, int]] = []
-            for a, b, text_a, text_b in records(batch, "a", "b", "text_a", "text_b"):
-                if a != at:  # rows of one a follow each other
-                    at, mine = a, shingles(text_a, words)
-                other = shingles(text_b, words)
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                if 100 * both >= threshold * (len(mine) + len(other) - both):
-                    out.append((a, b))
+            for i in range(batch.num_rows):
+                mine = sets.held.get(a[i])
+                mine = sets(a[i], text_a[i].as_py()) if mine is None else mine
+                other = sets.held.get(b[i])
+                other = sets(b[i], text_b[i].as_py()) if other is None else other
+                if similar(mine, other, threshold):
+                    out.append((a[i], b[i]))
             arrays = [pa.array([x[i] for x in out], pa.int64()) for i in range(2)]
             yield pa.RecordBatch.from_arrays(arrays, names=["a", "b"])
 
@@ -156,79 +187,106 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _compare(threshold: int, top: int | None):
-    """Pairs of unlike components from each block of a bucket whose rows follow each other."""
-
-    def likely(rows: list[tuple]) -> list[tuple[int, int, float]]:
-        if len({r[2] for r in rows}) < 2:
-            return []
-        rep, comp, n = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
-        side = np.array([r[4] for r in rows])
-        sig = np.frombuffer(b"".join(r[5] for r in rows), "<u2").reshape(len(rows), COORDINATES)
-        best: dict[int, list[tuple[float, int]]] = {}
-        out = []
-        for i in range(len(rows) - 1):
-            j = np.arange(i + 1, len(rows))
-            ok = (comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= threshold * np.maximum(n[j], n[i]))
-            if side[0] >= 0:  # two blocks: only across
-                ok &= side[j] != side[i]
-            j = j[ok]
-            if not len(j):
-                continue
-            est = (sig[j] == sig[i]).mean(axis=1)
-            for k, e in zip(j[est >= threshold / 100 - PLAY], est[est >= threshold / 100 - PLAY], strict=True):
-                a, b = sorted((int(rep[i]), int(rep[k])))
-                if top is None:
-                    out.append((a, b, float(e)))
-                else:
-                    for x, y in ((a, b), (b, a)):
-                        best.setdefault(x, []).append((float(e), y))
-        for x, found in best.items():
-            out += [(min(x, y), max(x, y), e) for e, y in sorted(found, reverse=True)[:top]]
-        return out
-
+def _likely_pairs(rows: list[tuple], threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and estimate of the likely pairs of unlike components in a block of (band, side, rep, comp, n, sig)."""
+    band, side, _, comp, n = (np.array([r[i] for r in rows], np.int64) for i in range(5))
+    sig = np.frombuffer(b"".join(r[5] for r in rows), "<u2").reshape(len(rows), COORDINATES)
+    first, second, ests = [], [], []
+    for i in range(len(rows) - 1):
+        ok = (comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= threshold * np.maximum(n[i + 1 :], n[i]))
+        if side[0] >= 0:  # two blocks: only across
+            ok &= side[i + 1 :] != side[i]
+        j = np.flatnonzero(ok) + i + 1
+        if len(j):
+            same = sig[j] == sig[i]
+            est = same.mean(axis=1)
+            shared = same.reshape(len(j), BANDS, ROWS).all(axis=2).argmax(axis=1)
+            good = (est >= threshold / 100 - PLAY) & (shared == band[i])
+            second.append(j[good])
+            first.append(np.full(len(second[-1]), i))
+            ests.append(est[good])
+    if not first:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return np.concatenate(first), np.concatenate(second), np.concatenate(ests)
+
+
+BLOCK_COLUMNS = ("band", "side", "rep", "comp", "n", "sig")
+BLOCK_SCHEMA = "block long, band int, side int, rep long, comp long, n long, sig binary"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[int, list[tuple]]]:
+    """Blocks with their rows, which follow each other."""
+    at, rows = None, []
+    for batch in batches:
+        for block, *rest in records(batch, "block", *columns):
+            if block != at:
+                if rows:
+                    yield at, rows
+                at, rows = block, []
+            rows.append(tuple(rest))
+    if rows:
+        yield at, rows
+
+
+def _suspects(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows = None, []
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        for block, rows in _blocks(batches, *BLOCK_COLUMNS):
+            if len({r[3] for r in rows}) > 1:
+                i, j, _ = _likely_pairs(rows, threshold)
+                out = [(block, *rows[k]) for k in np.union1d(i, j)]
+                if out:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=["block", *BLOCK_COLUMNS]
+                    )
 
-        def packed(out: list[tuple]) -> pa.RecordBatch:
-            types = (pa.int64(), pa.int64(), pa.float64())
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["a", "b", "est"])
+    return run
 
-        for batch in batches:
-            out: list[tuple] = []
-            for group, *rest in records(batch, "block", "rep", "comp", "n", "side", "sig"):
-                if group != at:
-                    out += likely(rows)
-                    at, rows = group, []
-                rows.append((group, *rest))
-                if len(out) > 50_000:
-                    yield packed(out)
-                    out = []
-            yield packed(out)
-        yield packed(likely(rows))
+
+def _links(words: int, threshold: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = _Sets(words)
+        for _, rows in _blocks(batches, *BLOCK_COLUMNS, "text"):
+            i, j, est = _likely_pairs(rows, threshold)
+            joined = {r[3]: r[3] for r in rows}
+
+            def root(x: int, joined: dict[int, int] = joined) -> int:
+                while joined[x] != x:
+                    joined[x] = x = joined[joined[x]]
+                return x
+
+            out = []
+            for k in np.argsort(-est, kind="stable"):
+                x, y = rows[i[k]], rows[j[k]]
+                a, b = root(x[3]), root(y[3])
+                if a != b and similar(sets(x[2], x[6]), sets(y[2], y[6]), threshold):
+                    joined[max(a, b)] = min(a, b)
+                    out.append((x[2], y[2]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["a", "b"])
 
     return run
 
 
-def _across(classes: DataFrame, reached: DataFrame, threshold: int, top: int | None) -> DataFrame:
-    """Likely pairs (a, b, est) between components that meet in a bucket, each bucket being compared in blocks."""
+def across(texts: DataFrame, classes: DataFrame, reached: DataFrame, words: int, threshold: int) -> DataFrame:
+    """Confirmed links between components that meet in a bucket."""
     labelled = classes.join(maybe_broadcast(reached), F.col("rep") == F.col("node"), "left")
     labelled = labelled.select("rep", "n", "sig", F.coalesce("least", "rep").alias("comp"))
     bands = _bands(labelled, "comp")
     mixed = bands.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     mixed = maybe_broadcast(stage(mixed.where("low != high").select("key", F.ceil(F.col("held") / BLOCK).alias("blocks")), "mixed"))
-    members = _bands(labelled, "comp", "n", "sig").join(mixed, "key")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    spread = members.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = _bands(labelled, "comp", "n", "sig").join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    spread = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("with"), -1).otherwise((F.col("own") > F.col("with")).cast("int"))
     block = F.xxhash64("key", F.least("own", "with"), F.greatest("own", "with"))
-    side = F.when(F.col("own") == F.col("with"), F.lit(0)).otherwise(F.lit(1))
-    rows = spread.select(
-        block.alias("block"), "rep", "comp", "n",
-        F.when(F.col("blocks") == 1, -1).when(side == 0, F.lit(-1)).otherwise((F.col("own") > F.col("with")).cast("int")).alias("side"), "sig",
-    )
+    rows = spread.select(block.alias("block"), "band", side.alias("side"), "rep", "comp", "n", "sig")
     rows = rows.repartition("block").sortWithinPartitions("block")
-    pairs = arrow_map(rows, _compare(threshold, top), "a long, b long, est double")
-    return pairs.groupBy("a", "b").agg(F.max("est").alias("est"))
+    suspects = stage(arrow_map(rows, _suspects(threshold), BLOCK_SCHEMA), "suspects")
+    asked = maybe_broadcast(stage(suspects.select(F.col("rep").alias("doc_id")).distinct(), "asked"))
+    known = texts.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    met = suspects.join(known, F.col("rep") == F.col("doc_id")).select("block", *BLOCK_COLUMNS, "text")
+    met = met.repartition("block").sortWithinPartitions("block")
+    return stage(arrow_map(met, _links(words, threshold), "a long, b long").distinct(), "links")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -252,20 +310,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rated = arrow_map(both.where(_possible(F.col("n_a"), F.col("n_b"), threshold)).select("a", "b", "sig_a", "sig_b"), _likely(threshold), "a long, b long, est double")
     best = rated.groupBy("b").agg(F.max(F.struct("est", (-F.col("a")).alias("a"))).alias("best"))
     pairs = stage(best.select((-F.col("best.a")).alias("a"), "b"), "pairs")
-    tested, links = pairs, confirmed(texts, pairs, words, threshold)
+    links = confirmed(texts, pairs, words, threshold)
+    reached = components(links)
+    links = links.unionByName(across(texts, classes, reached, words, threshold))
     reached = components(links)
-    for top in (TOP, None):
-        found = _across(classes, reached, threshold, top)
-        pairs = stage(found.join(maybe_broadcast(tested), ["a", "b"], "left_anti").select("a", "b"), "pairs")
-        if pairs.isEmpty():
-            if top is None:
-                break
-            continue
-        new = confirmed(texts, pairs, words, threshold)
-        tested = stage(tested.unionByName(pairs), "tested")
-        if not new.isEmpty():
-            links = stage(links.unionByName(new), "links")
-            reached = components(links)
     result = member.join(maybe_broadcast(reached), F.col("rep") == F.col("node"), "left")
     component = F.coalesce("least", "rep")
     return result.select(
