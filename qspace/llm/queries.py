@@ -13,6 +13,7 @@ from qspace.llm.mixing import mix
 from qspace.llm.near_dedup import near_dedup
 from qspace.llm.quality import quality, train
 from qspace.llm.sentencepiece_bpe import encode_decode
+from qspace.llm.token_store import store_round_trip
 
 WHITE = r"[\x20\x09-\x0D]"
 CONTROL_ROWS = ((0, "user"), (1, "assistant"))
@@ -43,6 +44,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_round_trip(read(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
