@@ -14,6 +14,8 @@ from qspace.llm.near_dedup import near_dedup
 from qspace.llm.quality import quality, train
 from qspace.llm.sentencepiece_bpe import encode_decode
 from qspace.llm.token_store import store_round_trip
+from qspace.llm.toxicity import toxicity
+from qspace.llm.toxicity import train as train_toxicity
 
 WHITE = r"[\x20\x09-\x0D]"
 CONTROL_ROWS = ((0, "user"), (1, "assistant"))
@@ -44,6 +46,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity(docs, train_toxicity(docs, read(spark, sf_dir, "labels")))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_round_trip(read(spark, sf_dir, "documents"))
 
