@@ -12,6 +12,8 @@ from qspace.llm.line_dedup import line_dedup
 from qspace.llm.mixing import mix
 from qspace.llm.near_dedup import near_dedup
 from qspace.llm.quality import quality, train
+from qspace.llm.secret_scan import scan
+from qspace.llm.secret_scan import train as train_scan
 from qspace.llm.sentencepiece_bpe import encode_decode
 from qspace.llm.token_store import store_round_trip
 from qspace.llm.toxicity import toxicity
@@ -51,6 +53,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, train_toxicity(docs, read(spark, sf_dir, "labels")))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return scan(docs, train_scan(docs))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_round_trip(read(spark, sf_dir, "documents"))
 
