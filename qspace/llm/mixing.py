@@ -117,12 +117,17 @@ def _round(most: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Whole copies for the classes of one source, of which there are as many as it has sizes."""
         pdf = pdf.sort_values("size", ascending=False)
+        rows = list(zip(pdf["size"].tolist(), pdf["n"].tolist(), pdf["rate"].tolist(), strict=True))
         error, out = 0.0, []
-        for size, n, rate in zip(pdf["size"], pdf["n"], pdf["rate"], strict=True):
-            wanted = rate * n + (error / size if size else 0.0)
-            m = int(min(most * n, max(0, round(wanted))))
+        for size, n, rate in rows:
+            m = min(most * n, max(0, round(rate * n + (error / size if size else 0.0))))
             error += (rate * n - m) * size
             out.append(m)
+        for i, (size, n, _) in enumerate(rows):  # what is left because small sizes had reached a bound
+            if size and abs(error) > size / 2:
+                m = min(most * n, max(0, out[i] + round(error / size)))
+                error -= (m - out[i]) * size
+                out[i] = m
         return pdf.assign(copies=out)[["source", "size", "n", "copies", "source_size", "target"]]
 
     return run
