@@ -163,7 +163,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     groups = merged.unionByName(screened.where("not seen").select("dig", "keep_id", "n"))
     several = maybe_broadcast(stage(groups.where("n > 1"), "groups"))
-    differing = stage(_differing(docs, several, id_col, text_col), "differing")
+    differing = stage(_differing(docs, several, id_col, text_col), "differing").distinct()
     result = rows.join(several, "dig", "left").select(
         "doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), "dig"
     )
@@ -184,7 +184,8 @@ def _differing(docs: DataFrame, several: DataFrame, id_col: str, text_col: str)
     members = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), F.unhex(F.sha2(text, 256)).alias("dig"))
     members = members.join(several, "dig").select("doc_id", "dig", "t", "keep_id")
     stays = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("dig").agg(F.min("t").alias("stay"))
-    return members.join(stays, "dig").where(F.col("t") != F.col("stay")).select("dig").distinct()
+    # Spark splits a join's large groups only between plain exchanges: so the texts that stay are staged, and no distinct follows
+    return members.join(stage(stays, "stays"), "dig").where(F.col("t") != F.col("stay")).select("dig")
 
 
 def _split(docs: DataFrame, result: DataFrame, differing: DataFrame, id_col: str, text_col: str) -> DataFrame:
