@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,9 +87,27 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(str(target))
 
 
+#: Modules whose workers remember things, with what makes them forget. A worker serves many tasks and keeps one module's memory.
+MEMORIES: dict[str, Callable[[], None]] = {}
+
+
+def _released(run: Callable) -> Callable:
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for module, forget in MEMORIES.items():
+            if module != run.__module__:
+                forget()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow() whose workers give back what earlier tasks of other operators hold."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_released(run), schema)
 
 
 def records(batch, *names: str) -> Iterator[tuple]:

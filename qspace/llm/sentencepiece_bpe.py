@@ -13,21 +13,22 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qspace.llm.common import arrow_map, records
+from qspace.llm.common import MEMORIES, arrow_map, records
 
 SPACE_MARK = "▁"
 #: How many words and chunks a worker remembers in each of two generations, and the longest of them; both bound memory only.
-CACHE_ENTRIES, CACHE_LENGTH, PAIRS = 120_000, 48, 500_000
+CACHE_ENTRIES, CACHE_LENGTH, PAIRS = 120_000, 48, 300_000
 #: Where no cut by kinds of characters keeps all pieces whole, texts are cut before spaces only, or not at all.
 WORDS, WHOLE = rf"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+", r"(?s:.+)"
 
@@ -41,11 +42,11 @@ def kinds_cut(signs: str) -> str:
 class Memory(dict):
     """Makes what it lacks. When it is full it becomes the older generation, from which what is still asked for is taken over."""
 
-    def __init__(self, make: Callable[[str], tuple[tuple[int, ...], str]]):
+    def __init__(self, make: Callable[[str], tuple[bytes, str]]):
         super().__init__()
         self.make, self.older = make, {}
 
-    def __missing__(self, key: str) -> tuple[tuple[int, ...], str]:
+    def __missing__(self, key: str) -> tuple[bytes, str]:
         found = self.older.get(key) or self.make(key)
         if len(key) <= CACHE_LENGTH:
             if len(self) >= CACHE_ENTRIES:
@@ -61,6 +62,7 @@ class PrefixTable:
     def __init__(self, model: str):
         sp = self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
         self.end = sp.eos_id()
+        self.code = "H" if sp.get_piece_size() <= 1 << 16 else "I"
         normal = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
         self.ids = {sp.id_to_piece(i): i for i in normal}
         self.score = {piece: sp.get_score(i) for piece, i in self.ids.items()}
@@ -98,7 +100,7 @@ class PrefixTable:
         found = self.pairs[left << 20 | right] = self.merged(a + b) == [a, b]
         return found
 
-    def chunk_ids(self, chunk: str) -> tuple[tuple[int, ...], str]:
+    def chunk_ids(self, chunk: str) -> tuple[bytes, str]:
         """The prefix table of the chunk, read backwards; a prefix that no piece ends has an unknown character at its end."""
         last, pairs, filled = [-1] * (len(chunk) + 1), self.pairs, 0
         for stop, (piece, length) in self.automaton.iter(chunk):
@@ -125,15 +127,15 @@ class PrefixTable:
                 at -= 1
                 ids.extend(self.bytes[b] for b in reversed(chunk[at].encode("utf-8", "surrogatepass")))
         ids.reverse()
-        return tuple(ids), " ".join(map(str, ids))
+        return array(self.code, ids).tobytes(), " ".join(map(str, ids))
 
-    def word_ids(self, word: str) -> tuple[tuple[int, ...], str]:
+    def word_ids(self, word: str) -> tuple[bytes, str]:
         """The ids of a word and the space before it."""
         return self.joined([self.chunks[c] for c in self.cut.findall(SPACE_MARK + word)])
 
     @staticmethod
-    def joined(parts: list[tuple[tuple[int, ...], str]]) -> tuple[tuple[int, ...], str]:
-        return tuple(chain.from_iterable([p[0] for p in parts])), " ".join([p[1] for p in parts])
+    def joined(parts: list[tuple[bytes, str]]) -> tuple[bytes, str]:
+        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
 
     def encode(self, text: str) -> tuple[list[int], str]:
         """All ids with the end id, and the same as decimal numbers joined by a space."""
@@ -144,7 +146,7 @@ class PrefixTable:
         else:
             parts = list(map(self.words.__getitem__, text.split(" ")))
         ids, written = self.joined(parts)
-        return [*ids, self.end], f"{written} {self.end}"
+        return [*np.frombuffer(ids, self.code).tolist(), self.end], f"{written} {self.end}"
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids)
@@ -155,6 +157,9 @@ def table(model: str) -> PrefixTable:
     return PrefixTable(model)
 
 
+MEMORIES[__name__] = table.cache_clear
+
+
 def default_model() -> str:
     import public_tokenizers
 
