@@ -27,17 +27,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from qspace.llm.common import arrow_map, maybe_broadcast, new_path, records
+from qspace.llm.common import MEMORIES, arrow_map, maybe_broadcast, new_path, records
 
 END_ID = 2
 #: Ids in the rolling hash; a chunk ends, on average, after 2**BITS ids, and has at least LEAST and at most MOST of them.
 ROLL, BITS, LEAST, MOST = 8, 8, 32, 2048
 KEY = 16
 #: Words in each generation of a worker's memory, and chunk keys that a task remembers as sent; both bound memory only.
-CACHE_WORDS, CACHE_KEYS = 250_000, 200_000
-#: Words of these characters alone consist of units that are encoded each by itself: letters, single digits and runs of other signs.
-SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+")
-UNITS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+CACHE_WORDS, CACHE_KEYS = 400_000, 200_000
+#: Words without any of the other characters consist of units that are encoded each by itself: letters, digits, runs of other signs.
+OTHER = re.compile(r"[^A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~\n]")
+UNITS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+|\n")
 SEPARATOR = "<|startoftext|>"
 _GEAR = np.random.default_rng(5).integers(0, 2**64, 1 << 16, dtype=np.uint64)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, j, 2**64) for j in range(ROLL)], np.uint64)
@@ -56,32 +56,37 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.type = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self.type = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) < 1 << 16 else "<u4"
         self.apart = self.tokenizer.token_to_id(SEPARATOR)
         vocabulary_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.zeros(vocabulary_size, bool)
         for piece, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends[i] = piece.endswith("</w>")
+        self.mark = np.iinfo(self.type).max  # no id
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.units: dict[str, bytes] = {}
+        self.old_units: dict[str, bytes] = {}
 
     def _packed(self, ids) -> bytes:
         return np.asarray(ids, self.type).tobytes()
 
     def _encoded(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type)
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
 
     def _cut(self, ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[bytes]:
         raw, size = ids.tobytes(), ids.itemsize
         return [raw[a:b] for a, b in zip((starts * size).tolist(), (stops * size).tolist(), strict=True)]
 
-    def _by_units(self, words: list[tuple[bytes, str]]) -> None:
-        """Units are encoded together, parted by spaces; each gives one piece that ends a word."""
-        parts = [UNITS.findall(text.lower()) for _, text in words]
+    def _by_units(self, words: list[bytes], text: str) -> None:
+        """Words joined by line feeds. New units are encoded together, parted by spaces; each gives one piece that ends a word."""
+        parts = UNITS.findall(text.lower())
         if len(self.units) > CACHE_WORDS:
-            self.units = {}
-        fresh = list({u for p in parts for u in p}.difference(self.units))
+            self.old_units, self.units = self.units, {}
+        mark = self.units["\n"] = self._packed([self.mark])
+        fresh = set(parts).difference(self.units)
+        self.units.update([(u, self.old_units[u]) for u in fresh.intersection(self.old_units)])
+        fresh = list(fresh.difference(self.old_units))
         for i in range(0, len(fresh), 4096):
             some = fresh[i : i + 4096]
             ids = self._encoded(" ".join(some))
@@ -90,8 +95,9 @@ class Words:
                 self.units.update(zip(some, self._cut(ids, np.concatenate([[0], stops[:-1]]), stops), strict=True))
             else:
                 self.units.update((u, self._encoded(u).tobytes()) for u in some)
-        for (w, _), p in zip(words, parts, strict=True):
-            self.young[w] = b"".join(map(self.units.__getitem__, p))
+        ids = np.frombuffer(b"".join(map(self.units.__getitem__, parts)) + mark, self.type)
+        stops = np.flatnonzero(ids == self.mark)
+        self.young.update(zip(words, self._cut(ids, np.concatenate([[0], stops[:-1] + 1]), stops), strict=True))
 
     def _by_separator(self, words: list[tuple[bytes, str]]) -> None:
         for i in range(0, len(words), 4096):
@@ -104,19 +110,22 @@ class Words:
     def learn(self, words: set[bytes]) -> None:
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
-        simple, other = [], []
-        for w in words:
-            found = self.old.get(w)
-            if found is not None:
-                self.young[w] = found
-                continue
-            text = w.decode("utf-8", "surrogatepass")
-            if b"<|" in w or self.apart is None:  # it may hold the separator itself
-                self.young[w] = self._encoded(text).tobytes()
-            else:
-                (simple if SIMPLE.fullmatch(text) else other).append((w, text))
+        for w in words.intersection(self.old):
+            self.young[w] = self.old[w]
+        simple, other = list(words.difference(self.old)), []
+        text = b"\n".join(simple).decode("utf-8", "surrogatepass")
+        if OTHER.search(text) or "<|" in text or self.apart is None:
+            pairs, simple = list(zip(simple, text.split("\n"), strict=True)), []
+            for w, t in pairs:
+                if "<|" in t or self.apart is None:  # it may hold the separator itself
+                    self.young[w] = self._encoded(t).tobytes()
+                elif OTHER.search(t):
+                    other.append((w, t))
+                else:
+                    simple.append(w)
+            text = b"\n".join(simple).decode()
         if simple:
-            self._by_units(simple)
+            self._by_units(simple, text)
         if other:
             self._by_separator(other)
 
@@ -138,6 +147,9 @@ def words_of(vocabulary: str) -> Words:
     return Words(vocabulary)
 
 
+MEMORIES[__name__] = words_of.cache_clear
+
+
 def cuts(ids: np.ndarray) -> list[int]:
     """Where chunks end: after an id at which the rolling hash has BITS zeros, within the bounds of a chunk's size."""
     n = len(ids)
@@ -187,14 +199,15 @@ def _pack_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["kind", "key", "doc_id", "n", "body", "root"])
 
 
-def _some(batches: Iterator[pa.RecordBatch], chars: int = 600_000) -> Iterator[list[tuple]]:
-    """(doc_id, text) of a few documents at a time, of about so many characters."""
+def _some(batches: Iterator[pa.RecordBatch], most: int = 1_500_000) -> Iterator[list[tuple]]:
+    """(doc_id, text in UTF-8) of a few documents at a time, of about so many bytes."""
     held, size = [], 0
     for batch in batches:
-        for doc_id, text in records(batch, "doc_id", "text"):
-            held.append((doc_id, text))
-            size += len(text or "")
-            if size >= chars or len(held) >= 1000:
+        texts = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text").cast(pa.binary())], names=["doc_id", "text"])
+        for doc_id, text in records(texts, "doc_id", "text"):
+            held.append((doc_id, text or b""))
+            size += len(text or b"")
+            if size >= most or len(held) >= 1000:
                 yield held
                 held, size = [], 0
     if held:
@@ -207,7 +220,7 @@ def _encode(vocabulary: str, end: int):
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
         for some in _some(batches):
             rows: list[tuple] = []
-            encoded = words.ids([(text or "").encode("utf-8", "surrogatepass").split() for _, text in some], end)
+            encoded = words.ids([text.split() for _, text in some], end)
             for (doc_id, _), raw in zip(some, encoded, strict=True):
                 ids = np.frombuffer(raw, words.type)
                 size, last, keys = ids.itemsize, 0, []
@@ -334,15 +347,19 @@ def _whole(with_ids: bool, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc_id, start, n, root, parts in records(batch, "doc_id", "start", "n", "root", "parts"):
-                if merkle([p["key"] for p in parts]) != root or sum(p["held"] for p in parts) != n:
+            out, lists = [], batch.column("parts")
+            fields = {f: lists.flatten().field(f).to_pylist() for f in ("key", "held", "crc", *["body"] * with_ids)}
+            at = 0
+            for (doc_id, start, n, root), count in zip(records(batch, "doc_id", "start", "n", "root"), lists.value_lengths().to_pylist(), strict=True):
+                keys, held, crcs = (fields[f][at : at + count] for f in ("key", "held", "crc"))
+                if merkle(keys) != root or sum(held) != n:
                     raise ValueError(f"document {doc_id} can't be put together")
                 crc = 0
-                for p in parts:
-                    crc = joined_crc(crc, p["crc"], 4 * p["held"])
-                ids = (np.frombuffer(b"".join(p["body"] for p in parts), f"<u{size}").astype(np.int32),) if with_ids else ()
+                for more, size_of in zip(crcs, held, strict=True):
+                    crc = joined_crc(crc, more, 4 * size_of)
+                ids = (np.frombuffer(b"".join(fields["body"][at : at + count]), f"<u{size}").astype(np.int32),) if with_ids else ()
                 out.append((doc_id, start, n, crc, *ids))
+                at += count
             names = ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], types[i]) for i in range(len(names))], names=names)
