@@ -1,10 +1,10 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field that adds to them.
 
-The fixed patterns give spans of three kinds. The field tags tokens as a secret's begin, inside or outside. Only long tokens can be
-tagged other than outside, so that texts are decoded exactly by Viterbi over runs of neighbouring long tokens, with outside on both
-ends. A token's features are its shape, its neighbouring words and signs, and features of its file. It is trained on the runs of a
-bounded sample of documents (SAMPLE, those with the smallest hash of their id, and of these at most RUNS runs), the fixed patterns'
-spans being its labels; what it finds beyond them is added with the kind "field", and the fixed spans stay as they are.
+The fixed patterns give spans of three kinds. The field tags every token of a text as a secret's begin, inside or outside, and texts are
+decoded exactly by Viterbi, with outside on both ends. A token's features are its shape, its neighbouring words and signs, and features
+of its file. It is trained on runs of tokens of a bounded sample of documents (SAMPLE, those with the smallest hash of their id, and of
+these at most RUNS runs, those with a span first), the fixed patterns' spans being its labels; its spans are added with the kind "field" beside the fixed ones,
+which stay as they are.
 
 Defined cases: null and empty texts have no spans; a sample without a span trains a field that adds nothing; repeated rows are
 scanned alike; null ids are kept; an empty table gives an empty result; other columns are ignored.
@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +33,21 @@ ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW]
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # the runs of [0-9a-f]+ with so many characters
 LEAST_VALUE, LEAST_ACCESS = 12, 18
+PADDING = re.compile(r"(?:={1,2}(?![^\s\"'`,;)\]}>]))?")  # of base64
 
 SAMPLE, RUNS = 4_000, 20_000
-#: Long tokens: so many characters with a digit among them, or so many without.
-WITH_DIGIT, WITHOUT = 12, 20
-TOKEN = re.compile(rf"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{{{WITH_DIGIT},}}")
-BETWEEN = re.compile(r"[\s\"':=,;]{0,8}")
-WORD = re.compile(r"[A-Za-z_]+")
+#: Runs without a span are plenty and alike: so many of them are enough beside all that have one.
+OTHERS = 4_000
+#: Training runs have so many tokens at least; they are cut only between tokens outside of all spans.
+WINDOW = 8
+#: Tokens are what stands between these signs and white space.
+SEPARATORS = "\"'`:=,;()[]{}<>|"
+SPACES = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+KEYWORD = re.compile("|".join(f"({k})" for k in sorted(KEYWORDS, key=len, reverse=True)), re.I | re.A)
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 EPOCHS, STEP, RIDGE = 80, 0.15, 1e-3
+_BREAK, _BLANK, _DIGIT, _UPPER, _LOWER, _HEX, _SIGN = (np.array([c in chars for c in map(chr, range(129))]) for chars in (
+    SEPARATORS + " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f", " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "={}:;\"'"))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -54,74 +62,108 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def _level(value: float, *edges: float) -> int:
-    return sum(value >= e for e in edges)
+def _levels(values: np.ndarray, *edges: float) -> np.ndarray:
+    return np.searchsorted(edges, values, side="right")
 
 
-def runs(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of neighbouring long tokens, as (start, end)."""
-    out: list[list[tuple[int, int]]] = []
-    for m in TOKEN.finditer(text):
-        a, b = m.span()
-        if b - a < WITHOUT and not any(c in "0123456789" for c in m[0]):
-            continue
-        if out and BETWEEN.fullmatch(text, out[-1][-1][1], a):
-            out[-1].append((a, b))
-        else:
-            out.append([(a, b)])
-    return out
-
-
-def file_features(text: str, tokens: int) -> list[str]:
-    signs = sum(map(text.count, "={}:;\"'"))
-    return [f"file signs {_level(signs / len(text), 0.005, 0.02, 0.08)}", f"file tokens {_level(tokens, 2, 5, 20)}"]
+#: How many values each column of features has.
+SIZES = (16, 7, 6, 2, 4, 5, 5, 8, 8, 4, 4, 3, 2, 4, 2, 4, 4)
+OFFSETS = np.cumsum((0, *SIZES))
 
 
-def token_features(text: str, a: int, b: int) -> list[str]:
-    token, before, after = text[a:b], text[max(0, a - 32) : a], text[b : b + 24]
+def tokens(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all tokens, and a row of features of each, numbered over all columns."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    chars = np.minimum(codes, 128)
+    apart, blank = _BREAK[chars], _BLANK[chars]
+    if len(chars) and chars.max() == 128:
+        wide = np.isin(codes, SPACES)
+        apart, blank = apart | wide, blank | wide
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], apart, [True]])))
+    a, b = edges[::2], edges[1::2]
+    if not len(a):
+        return a, b, np.zeros((0, len(SIZES)), np.int64)
     n = b - a
-    digits, upper, lower = (sum(map(str.isdigit, token)), sum(map(str.isupper, token)), sum(map(str.islower, token)))
-    kinds = "".join(k for k, on in (("0", digits), ("A", upper), ("a", lower), ("-", digits + upper + lower < n)) if on)
-    changes = sum(x.isdigit() != y.isdigit() for x, y in zip(token, token[1:], strict=False)) / n
-    left, right = WORD.findall(before), WORD.search(after)
-    word = left[-1].lower() if left else ""
-    key = next((k for k in KEYWORDS if k in word), "other" if word else "none")
-    sign = before.rstrip(" ")[-1:] or "none"
-    return [
-        "bias", f"kinds {kinds}", f"length {_level(n, 16, 20, 24, 32, 40, 64)}", f"digits {_level(digits / n, 0.05, 0.2, 0.4, 0.7, 1.0)}",
-        f"hex {all(c in '0123456789abcdef' for c in token)}", f"different {_level(len(set(token)) / n, 0.2, 0.35, 0.5, 0.75)}",
-        f"changes {_level(changes, 0.05, 0.15, 0.3, 0.5)}", f"word {key}", f"sign {sign if sign in '=:\"' else 'other'}", f"word {key} sign {sign in '=:\"'}",
-        f"next {after[:1] if after[:1] in '\"@ ' else 'other'}", f"right {right is not None}", f"dots {_level(token.count('.'), 1, 3)}",
+
+    def count(on: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(on) + 1, np.int32)
+        np.cumsum(on, out=total[1:])
+        return total[b] - total[a]
+
+    def changed(on: np.ndarray) -> np.ndarray:
+        return count(np.concatenate([[False], on[1:] != on[:-1]])) - (on[a] != on[np.maximum(a - 1, 0)])
+
+    is_digit, is_upper = _DIGIT[chars], _UPPER[chars]
+    digits, upper, lower = count(is_digit), count(is_upper), count(_LOWER[chars])
+    rest = n - digits - upper - lower
+    same = n - 1 - changed(codes)
+    key = np.zeros(len(a), np.int64)
+    for m in KEYWORD.finditer(text):
+        at = int(np.searchsorted(a, m.start(), side="right")) - 1
+        key[at] = m.lastindex
+    before, second = np.concatenate([[7], key[:-1]]), np.concatenate([[7, 7], key])[: len(a)]
+    last = np.maximum.accumulate(np.where(blank, -1, np.arange(len(chars))))
+    at = np.where(a > 0, last[np.maximum(a - 1, 0)], -1)
+    left = np.where(at >= 0, chars[np.maximum(at, 0)], 0)
+    sign = np.select([at < 0, left == ord("="), left == ord(":"), left == ord('"')], [0, 1, 2, 3], 4)
+    after = np.where(b < len(chars), chars[np.minimum(b, len(chars) - 1)], 0)
+    keyed = (before > 0) & (before < 7)
+    file_signs = int(_levels(_SIGN[chars].mean(), 0.005, 0.02, 0.08))
+    columns = [
+        (digits > 0) + 2 * (upper > 0) + 4 * (lower > 0) + 8 * (rest > 0), _levels(n, 16, 20, 24, 32, 40, 64), _levels(digits / n, 0.05, 0.2, 0.4, 0.7, 1.0), count(_HEX[chars]) == n,
+        _levels(same / n, 0.1, 0.3, 0.6), _levels(changed(is_digit) / n, 0.05, 0.15, 0.3, 0.5), sign, before, second, keyed + 2 * ((sign > 0) & (sign < 4)),
+        np.select([after == ord('"'), after == 0, after == ord(" ")], [0, 1, 2], 3), _levels(count(chars == ord(".")), 1, 3), key > 0, _levels(rest / n, 0.01, 0.2, 0.5),
+        (chars[a] == ord("A")) & (n > 3) & np.array([text.startswith("AKIA", i) for i in a]) if "AKIA" in text else np.zeros(len(a), bool),
+        np.full(len(a), file_signs), np.full(len(a), _levels(len(a), 10, 100, 1000)),
     ]
+    return a, b, np.stack(columns, axis=1).astype(np.int64) + OFFSETS[:-1]
 
 
-def sequences(text: str) -> Iterator[tuple[list[tuple[int, int]], list[list[str]]]]:
-    found = runs(text)
-    if found:
-        whole = file_features(text, sum(map(len, found)))
-        for run in found:
-            yield run, [token_features(text, a, b) + whole for a, b in run]
+def sequences(text: str) -> Iterator[tuple[list[tuple[int, int]], list[list[int]]]]:
+    """All tokens of a text as one run, as (start, end), with their features."""
+    a, b, x = tokens(text)
+    if len(a):
+        yield list(zip(a.tolist(), b.tolist(), strict=True)), x.tolist()
 
 
 def tags(run: list[tuple[int, int]], spans: list[tuple[str, int, int]]) -> list[int]:
-    """Training labels: a token that a span covers for the most part begins a secret, or is inside of the one before."""
+    """Training labels: a token that a span covers for the most part begins a secret, or is inside of the one before. A keyword, with
+    which a span of the first kind begins, is none.
+    """
     out, last = [], None
     for a, b in run:
-        span = next((s for s in spans if min(b, s[2]) - max(a, s[1]) > (b - a) / 2), None)
+        span = next((s for s in spans if min(b, s[2]) - max(a, s[1]) > (b - a) / 2 and not (s[0] == "assign" and a <= s[1] < b)), None)
         out.append(OUTSIDE if span is None else INSIDE if last is not None and span == last else BEGIN)
         last = span
     return out
 
 
+def windows(text: str) -> Iterator[tuple[int, list[list[int]], list[int]]]:
+    """Training runs, as (start, features, labels). What follows a keyword but is too short for the patterns has no known label: runs
+    that hold it are left out.
+    """
+    spans = base_spans(text)
+    short = [m.span(1) for m in ASSIGN.finditer(text) if len(m[1]) < LEAST_VALUE]
+    for run, x in sequences(text):
+        y = tags(run, spans)
+        unknown = {i for s in short for i in range(bisect_right(run, (s[0], len(text))) - 1, len(run)) if run[i][0] < s[1]} if short else set()
+        begin = 0
+        for i in range(1, len(run) + 1):
+            if i == len(run) or (i - begin >= WINDOW and y[i - 1] == y[i] == OUTSIDE):
+                if not any(k in unknown and y[k] == OUTSIDE for k in range(begin, i)):
+                    yield run[begin][0], x[begin:i], y[begin:i]
+                begin = i
+
+
 @dataclass
 class Field:
     """Emission weights by feature and tag, and transition weights; runs have outside before and after."""
 
-    index: dict[str, int]
+    index: dict[int, int]
     emit: np.ndarray
     move: np.ndarray
 
-    def viterbi(self, features: list[list[str]]) -> list[int]:
+    def viterbi(self, features: list[list[int]]) -> list[int]:
         if not self.index:
             return [OUTSIDE] * len(features)
         score, back = self.move[OUTSIDE], []
@@ -138,25 +180,62 @@ class Field:
             path.append(int(b[path[-1]]))
         return path[::-1]
 
-    def spans(self, text: str) -> list[tuple[int, int]]:
-        out: list[tuple[int, int]] = []
-        for run, features in sequences(text):
-            inside = False
-            for (a, b), tag in zip(run, self.viterbi(features), strict=True):
-                if tag == INSIDE and inside:
-                    out[-1] = (out[-1][0], b)
-                elif tag != OUTSIDE:
-                    out.append((a, b))
-                inside = tag != OUTSIDE
+    @cached_property
+    def table(self) -> np.ndarray:
+        """Emission weights of all features, those that training did not see at zero."""
+        out = np.zeros((OFFSETS[-1], 3))
+        out[list(self.index)] = self.emit
         return out
 
+    def decode(self, x: np.ndarray) -> np.ndarray:
+        """viterbi() over all tokens. Where outside is better whatever the tags beside it are, it is in the best path; what lies between
+        such tokens is decoded by itself.
+        """
+        e = self.table[x[:, 0]]
+        for c in range(1, x.shape[1]):
+            e += self.table[x[:, c]]
+        gain = (self.move - self.move[:, OUTSIDE:]).max(axis=0) + (self.move - self.move[OUTSIDE]).max(axis=1)
+        path = np.full(len(x), OUTSIDE)
+        at = np.flatnonzero((e[:, :OUTSIDE] + gain[:OUTSIDE] >= e[:, OUTSIDE:]).any(axis=1))
+        if not len(at):
+            return path
+        move = self.move.tolist()
+        for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+            score, back = None, []
+            for row in e[part].tolist():
+                if score is None:
+                    score = [move[OUTSIDE][k] + row[k] for k in range(3)]
+                    continue
+                best = [max(range(3), key=[score[j] + move[j][k] for j in range(3)].__getitem__) for k in range(3)]
+                score = [score[best[k]] + move[best[k]][k] + row[k] for k in range(3)]
+                back.append(best)
+            tag = max(range(3), key=[score[k] + move[k][OUTSIDE] for k in range(3)].__getitem__)
+            path[part[-1]] = tag
+            for t, best in zip(part[-2::-1], reversed(back), strict=True):
+                tag = best[tag]
+                path[t] = tag
+        return path
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        a, b, x = tokens(text)
+        if not self.index or not len(a):
+            return []
+        path, out, last = self.decode(x), [], -2
+        for t in np.flatnonzero(path != OUTSIDE).tolist():
+            if path[t] == INSIDE and last == t - 1:
+                out[-1] = (out[-1][0], int(b[t]))
+            else:
+                out.append((int(a[t]), int(b[t])))
+            last = t
+        return [(s, e + len(PADDING.match(text, e)[0])) for s, e in out]
+
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return (np.log(np.exp(x - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
 
 
-def fit(data: list[tuple[list[list[str]], list[int]]]) -> Field:
+def fit(data: list[tuple[list[list[int]], list[int]]]) -> Field:
     """Maximum likelihood by gradient steps; marginals come from forward and backward sums over runs of one length at a time."""
     names = sorted({f for features, _ in data for token in features for f in token})
     index = {f: i for i, f in enumerate(names)}
@@ -166,21 +245,23 @@ def fit(data: list[tuple[list[list[str]], list[int]]]) -> Field:
     for i, (features, _) in enumerate(data):
         by_length.setdefault(len(features), []).append(i)
     width = max(len(token) for features, _ in data for token in features)
+    numbers: dict[tuple, int] = {}  # tokens of the same features are summed once
     groups = []
     for length, rows in sorted(by_length.items()):
-        x = np.full((len(rows), length, width), len(names))  # the last row of the weights stays zero
-        for k, i in enumerate(rows):
-            for t, token in enumerate(data[i][0]):
-                x[k, t, : len(token)] = [index[f] for f in token]
+        x = np.array([[numbers.setdefault(tuple(token), len(numbers)) for token in data[i][0]] for i in rows])
         groups.append((x, np.array([data[i][1] for i in rows])))
+    kinds = np.full((len(numbers), width), len(names))  # the last row of the weights stays zero
+    for token, k in numbers.items():
+        kinds[k, : len(token)] = [index[f] for f in token]
     emit, move = np.zeros((len(names) + 1, 3)), np.zeros((3, 3))
     moments = [[np.zeros_like(w), np.zeros_like(w)] for w in (emit, move)]
     total = len(data)
     for epoch in range(1, EPOCHS + 1):
         g_emit, g_move = RIDGE * emit, RIDGE * move
+        e_kinds, g_kinds = emit[kinds].sum(axis=1), np.zeros((len(kinds), 3))
         for x, y in groups:
-            n, length, _ = x.shape
-            e = emit[x].sum(axis=2)
+            n, length = x.shape
+            e = e_kinds[x]
             fore, aft = np.zeros((n, length, 3)), np.zeros((n, length, 3))
             fore[:, 0] = move[OUTSIDE] + e[:, 0]
             for t in range(1, length):
@@ -193,13 +274,15 @@ def fit(data: list[tuple[list[list[str]], list[int]]]) -> Field:
             d = p.copy()
             d[np.arange(n)[:, None], np.arange(length)[None, :], y] -= 1
             for tag in range(3):
-                g_emit[:, tag] += np.bincount(x.ravel(), np.repeat(d[:, :, tag].ravel(), x.shape[2]), len(names) + 1) / total
+                g_kinds[:, tag] += np.bincount(x.ravel(), d[:, :, tag].ravel(), len(kinds))
             g_move[OUTSIDE] += d[:, 0].sum(axis=0) / total
             g_move[:, OUTSIDE] += d[:, -1].sum(axis=0) / total
             for t in range(1, length):
                 pair = np.exp(fore[:, t - 1, :, None] + move + (e[:, t] + aft[:, t])[:, None, :] - z[:, None, None])
                 g_move += pair.sum(axis=0) / total
                 np.subtract.at(g_move, (y[:, t - 1], y[:, t]), 1 / total)
+        for tag in range(3):
+            g_emit[:, tag] += np.bincount(kinds.ravel(), np.repeat(g_kinds[:, tag], width), len(names) + 1) / total
         for w, g, (m, v) in zip((emit, move), (g_emit, g_move), moments, strict=True):
             m *= 0.9
             m += 0.1 * g
@@ -214,10 +297,8 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for doc_id, text in records(batch, "doc_id", "text"):
-            text = text or ""
-            spans = base_spans(text)
-            rows += [(doc_id, run[0][0], x, tags(run, spans)) for run, x in sequences(text)]
-        types = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.string())), pa.list_(pa.int32()))
+            rows += [(doc_id, *w) for w in windows(text or "")]
+        types = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["doc_id", "at", "x", "y"])
 
 
@@ -225,15 +306,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     key = F.col(id_col).cast("long")
     chosen = docs.select(key.alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(key.alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(stage(chosen, "scan-sample")), "doc_id")
-    examples = arrow_map(rows, _examples, "doc_id long, at long, x array<array<string>>, y array<int>")
-    got = examples.orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at").limit(most).collect()
+    examples = stage(arrow_map(rows, _examples, "doc_id long, at long, x array<array<int>>, y array<int>"), "scan-runs")
+    spanned = F.exists("y", lambda tag: tag != OUTSIDE)
+    got: list = []
+    for some, limit in ((spanned, most), (~spanned, OTHERS)):
+        got += examples.where(some).orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at").limit(min(limit, most - len(got))).collect()
     return fit([([list(t) for t in r["x"]], list(r["y"])) for r in got])
 
 
 def secret_spans(text: str, field: Field) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """The fixed spans, and all spans: these and the field's that touch none of them."""
+    """The fixed spans, and all spans: these and the field's, which may overlap them."""
     base = base_spans(text)
-    more = [("field", a, b) for a, b in field.spans(text) if all(b <= s or a >= e for _, s, e in base)]
+    more = [("field", a, b) for a, b in field.spans(text)]
     return base, sorted(base + more, key=lambda s: (s[1], (*KINDS, "field").index(s[0])))
 
 

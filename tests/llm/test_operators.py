@@ -408,6 +408,23 @@ def test_field_decodes_the_best_path_and_generalises():
     assert base == [] and [s[0] for s in spans] == ["field"] and new[spans[0][1] : spans[0][2]] == new.split()[2]
 
 
+def test_field_tags_every_token():
+    rng = random.Random(5)
+    alphabet = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"
+    data = []
+    for i in range(300):
+        secret = "".join(rng.choice(alphabet) for _ in range(rng.randint(12, 20)))
+        text = f"the password: {secret} is for user{i}.name and order-2024-{i:05d}-x" if i % 2 else f"see the page {i} of http.example.com/page{i}/index.html2 now: password rules"
+        data += [(x, y) for _, x, y in secret_scan.windows(text)]
+    field = secret_scan.fit(data)
+    for text, value in (("the password: Tr0ub4dor3 is new", "Tr0ub4dor3"), ("the password: Kp9!xR@4tQz is new", "Kp9!xR@4tQz"), ("the password: kTrQbWdXrZpLmN is new", "kTrQbWdXrZpLmN")):
+        assert value in [text[a:b] for _, a, b in secret_scan.secret_spans(text, field)[1] if _ == "field"]
+        _, _, x = secret_scan.tokens(text)
+        assert field.decode(x).tolist() == field.viterbi(x.tolist())
+    run, _ = next(secret_scan.sequences("password: correcthorse"))
+    assert secret_scan.tags(run, secret_scan.base_spans("password: correcthorse")) == [secret_scan.OUTSIDE, secret_scan.BEGIN]
+
+
 def test_pipeline(spark, sf, texts):
     import corpus_pipeline as pipeline
 
