@@ -5,7 +5,7 @@ equal chunks one is stored. A document's recipe lists its chunks' addresses and
 
     chunks/   key (16 bytes), n, body: n ids, little-endian, 2 bytes each where the vocabulary allows it, else 4
     recipes/  in ascending order of doc_id, a file per range of ids: part, row, doc_id, n, at (ids before it in its part), keys, root
-    manifest/ one row per part: ids before the part, its documents, its ids and the Merkle root of its documents' roots
+    manifest/ one row per part: ids before the part, its documents, its ids, the Merkle root of its documents' roots, bytes of an id
 
 Readers check every chunk's digest and every root before they return anything.
 
@@ -17,12 +17,14 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,13 +33,17 @@ from qspace.llm.common import MEMORIES, arrow_map, maybe_broadcast, new_path, re
 
 END_ID = 2
 #: Ids in the rolling hash; a chunk ends, on average, after 2**BITS ids, and has at least LEAST and at most MOST of them.
-ROLL, BITS, LEAST, MOST = 8, 8, 32, 2048
+ROLL, BITS, LEAST, MOST = 8, 9, 64, 4096
 KEY = 16
-#: Words in each generation of a worker's memory, and chunk keys that a task remembers as sent; both bound memory only.
-CACHE_WORDS, CACHE_KEYS = 400_000, 200_000
+#: Words and units in each generation of a worker's memory, and chunk keys that a task remembers as sent; all bound memory only.
+CACHE_WORDS, CACHE_UNITS, CACHE_KEYS = 250_000, 500_000, 100_000
+#: Bytes of texts that are encoded together.
+SOME = 6_000_000
 #: Words without any of the other characters consist of units that are encoded each by itself: letters, digits, runs of other signs.
 OTHER = re.compile(r"[^A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~\n]")
 UNITS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+|\n")
+#: Signs that make a unit of their own after letters.
+SIGNS = frozenset(".,;:!?")
 SEPARATOR = "<|startoftext|>"
 _GEAR = np.random.default_rng(5).integers(0, 2**64, 1 << 16, dtype=np.uint64)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, j, 2**64) for j in range(ROLL)], np.uint64)
@@ -63,8 +69,8 @@ class Words:
         for piece, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends[i] = piece.endswith("</w>")
         self.mark = np.iinfo(self.type).max  # no id
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
         self.old_units: dict[str, bytes] = {}
 
@@ -78,15 +84,23 @@ class Words:
         raw, size = ids.tobytes(), ids.itemsize
         return [raw[a:b] for a, b in zip((starts * size).tolist(), (stops * size).tolist(), strict=True)]
 
-    def _by_units(self, words: list[bytes], text: str) -> None:
-        """Words joined by line feeds. New units are encoded together, parted by spaces; each gives one piece that ends a word."""
-        parts = UNITS.findall(text.lower())
-        if len(self.units) > CACHE_WORDS:
-            self.old_units, self.units = self.units, {}
-        mark = self.units["\n"] = self._packed([self.mark])
-        fresh = set(parts).difference(self.units)
-        self.units.update([(u, self.old_units[u]) for u in fresh.intersection(self.old_units)])
-        fresh = list(fresh.difference(self.old_units))
+    def _by_units(self, words: list[str], text: str) -> None:
+        """Words joined by line feeds."""
+        ids = np.frombuffer(b"".join(self.of_units(UNITS.findall(text.lower()))) + self._packed([self.mark]), self.type)
+        stops = np.flatnonzero(ids == self.mark)
+        self.young.update(zip(words, self._cut(ids, np.concatenate([[0], stops[:-1] + 1]), stops), strict=True))
+
+    def of_units(self, parts: list[str]) -> list[bytes]:
+        """The ids of units, a mark for line feeds. New ones are encoded together, parted by spaces; each gives one piece that ends a word."""
+        if len(self.units) > CACHE_UNITS or not self.units:
+            self.old_units, self.units = self.units, {"\n": self._packed([self.mark])}
+        found = list(map(self.units.get, parts))
+        fresh = {p for p, v in zip(parts, found, strict=True) if v is None}
+        if not fresh:
+            return found
+        known = fresh.intersection(self.old_units)
+        self.units.update([(u, self.old_units[u]) for u in known])
+        fresh = list(fresh.difference(known))
         for i in range(0, len(fresh), 4096):
             some = fresh[i : i + 4096]
             ids = self._encoded(" ".join(some))
@@ -95,51 +109,89 @@ class Words:
                 self.units.update(zip(some, self._cut(ids, np.concatenate([[0], stops[:-1]]), stops), strict=True))
             else:
                 self.units.update((u, self._encoded(u).tobytes()) for u in some)
-        ids = np.frombuffer(b"".join(map(self.units.__getitem__, parts)) + mark, self.type)
-        stops = np.flatnonzero(ids == self.mark)
-        self.young.update(zip(words, self._cut(ids, np.concatenate([[0], stops[:-1] + 1]), stops), strict=True))
+        return [self.units[p] if v is None else v for p, v in zip(parts, found, strict=True)]
 
-    def _by_separator(self, words: list[tuple[bytes, str]]) -> None:
+    def _by_separator(self, words: list[str]) -> None:
         for i in range(0, len(words), 4096):
             some = words[i : i + 4096]
-            ids = self._encoded(SEPARATOR.join([text for _, text in some]))
+            ids = self._encoded(SEPARATOR.join(some))
             cuts = np.flatnonzero(ids == self.apart)
             found = self._cut(ids, np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]]))
-            self.young.update(zip([w for w, _ in some], found, strict=True))
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        for w in words.intersection(self.old):
-            self.young[w] = self.old[w]
-        simple, other = list(words.difference(self.old)), []
-        text = b"\n".join(simple).decode("utf-8", "surrogatepass")
-        if OTHER.search(text) or "<|" in text or self.apart is None:
-            pairs, simple = list(zip(simple, text.split("\n"), strict=True)), []
-            for w, t in pairs:
-                if "<|" in t or self.apart is None:  # it may hold the separator itself
-                    self.young[w] = self._encoded(t).tobytes()
-                elif OTHER.search(t):
-                    other.append((w, t))
-                else:
-                    simple.append(w)
-            text = b"\n".join(simple).decode()
+            self.young.update(zip(some, found, strict=True))
+
+    def learn(self, words: list[str]) -> None:
+        simple, other = [], []
+        for w, known in zip(words, map(self.old.get, words), strict=True):
+            if known is not None:
+                self.young[w] = known
+            elif "<|" in w or self.apart is None:  # it may hold the separator itself
+                self.young[w] = self._encoded(w).tobytes()
+            else:
+                simple.append(w)
+        text = "\n".join(simple)
+        if OTHER.search(text):
+            other = [w for w in simple if OTHER.search(w)]
+            simple = [w for w in simple if not OTHER.search(w)]
+            text = "\n".join(simple)
         if simple:
             self._by_units(simple, text)
         if other:
             self._by_separator(other)
 
-    def ids(self, documents: list[list[bytes]], end: int) -> list[bytes]:
-        """The ids of some documents, given as words; what they lack is learnt for all of them at once."""
-        asked = set().union(*documents)
-        missing = asked.difference(self.young)
-        if missing:
-            before = self.young
-            self.learn(missing)
-            if self.young is not before:  # a new generation has begun, without what was known before
-                self.learn(asked.difference(self.young))
-        last, get = self._packed([end]), self.young.__getitem__
-        return [b"".join(map(get, words)) + last for words in documents]
+    def _letters(self, words: list[str], chosen: list[bool]) -> tuple[list[bool], list[bytes]]:
+        """Which of the chosen words, which are of letters only, are units as a whole, and these units' ids."""
+        text = "\n".join(compress(words, chosen))
+        if OTHER.search(text):
+            chosen = [c and not OTHER.search(w) for w, c in zip(words, chosen, strict=True)]
+            text = "\n".join(compress(words, chosen))
+        if not any(chosen):
+            return chosen, []
+        return chosen, self.of_units(text.lower().split("\n"))
+
+    def values(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words; what is lacking is learnt at once. Letters, also with one sign after them, are looked up by unit,
+        and other words are remembered as they are."""
+        found: list[bytes | None] = [None] * len(words)
+        whole, ids = self._letters(words, list(map(str.isalpha, words)))
+        for i, v in zip(compress(range(len(words)), whole), ids, strict=True):
+            found[i] = v
+        rest = [i for i, done in enumerate(whole) if not done]
+        stems = [words[i][:-1] if words[i][-1:] in SIGNS else "" for i in rest]
+        ended, ids = self._letters(stems, list(map(str.isalpha, stems)))
+        if ids:
+            signs = dict(zip(SIGNS, self.of_units(list(SIGNS)), strict=True))
+            for i, v in zip(compress(rest, ended), ids, strict=True):
+                found[i] = v + signs[words[i][-1]]
+        rest = [i for i, done in zip(rest, ended, strict=True) if not done]
+        if rest:
+            if len(self.young) > CACHE_WORDS:
+                self.old, self.young = self.young, {}
+            known = list(map(self.young.get, [words[i] for i in rest]))
+            self.learn([words[i] for i, v in zip(rest, known, strict=True) if v is None])
+            for i, v in zip(rest, known, strict=True):
+                found[i] = self.young[words[i]] if v is None else v
+        return found
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after the other, an end id after each, and where each begins and the last one ends."""
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        values = self.values(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        width = np.dtype(self.type).itemsize
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // width
+        ids, starts = np.frombuffer(b"".join(values), self.type), np.cumsum(sizes) - sizes
+        which = words.indices.to_numpy(zero_copy_only=False)
+        each = sizes[which]
+        stops = np.cumsum(each)
+        total = int(stops[-1]) if len(stops) else 0
+        counts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+        bounds = np.concatenate([[0], stops])[counts]  # of texts among ids without end ids
+        place = np.int32 if max(total, len(ids)) < 1 << 30 else np.int64
+        out = np.full(total + len(texts), end, self.type)
+        inside = np.ones(len(out), bool)
+        inside[bounds[1:] + np.arange(len(texts))] = False
+        out[inside] = ids[np.repeat((starts[which] - stops + each).astype(place), each) + np.arange(total, dtype=place)]
+        return out, bounds + np.arange(len(texts) + 1)
 
 
 @lru_cache(maxsize=2)
@@ -147,31 +199,33 @@ def words_of(vocabulary: str) -> Words:
     return Words(vocabulary)
 
 
-MEMORIES[__name__] = words_of.cache_clear
+MEMORIES[__name__] = words_of
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Where chunks end: after an id at which the rolling hash has BITS zeros, within the bounds of a chunk's size."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
-    gear = _GEAR[ids & 0xFFFF]
+def borders(ids: np.ndarray) -> np.ndarray:
+    """Places after ids at which the rolling hash has BITS zeros. LEAST ids go before a cut, so what is before a document never matters."""
+    n, gear = len(ids), _GEAR[ids & 0xFFFF]
     h = np.zeros(n, np.uint64)
-    for j in range(ROLL):
+    for j in range(min(ROLL, n)):
         h[j:] += gear[: n - j] * _POWERS[j]
-    ends, last = [], 0
-    for c in (np.flatnonzero(h >> np.uint64(64 - BITS) == 0) + 1).tolist():
+    return np.flatnonzero(h >> np.uint64(64 - BITS) == 0) + 1
+
+
+def cuts(found: list[int], start: int, stop: int) -> list[int]:
+    """Where the chunks of the document from start to stop end, given the borders inside: within the bounds of a chunk's size."""
+    ends, last = [], start
+    for c in found:
         while c - last > MOST:
             last += MOST
             ends.append(last)
         if c - last >= LEAST:
             ends.append(c)
             last = c
-    while n - last > MOST:
+    while stop - last > MOST:
         last += MOST
         ends.append(last)
-    if last < n:
-        ends.append(n)
+    if last < stop:
+        ends.append(stop)
     return ends
 
 
@@ -179,12 +233,46 @@ def address(body: bytes) -> bytes:
     return blake2b(body, digest_size=KEY).digest()
 
 
-def merkle(keys: list[bytes]) -> bytes:
-    """The root of a binary tree; leaves and inner nodes are told apart by their first byte."""
-    level = [blake2b(b"\0" + k, digest_size=KEY).digest() for k in keys] or [blake2b(b"", digest_size=KEY).digest()]
-    while len(level) > 1:
-        level = [blake2b(b"\1" + b"".join(level[i : i + 2]), digest_size=KEY).digest() for i in range(0, len(level), 2)]
-    return level[0]
+class Merkle:
+    """The root of a binary tree over leaves that come one by one; leaves and inner nodes are told apart by their first byte. Of every
+    level only a node that waits for its neighbour is held. A node without neighbour goes up alone."""
+
+    def __init__(self):
+        self.waiting: list[bytes | None] = []
+
+    @staticmethod
+    def _node(*parts: bytes) -> bytes:
+        return blake2b(b"\1" + b"".join(parts), digest_size=KEY).digest()
+
+    def add(self, leaf: bytes) -> None:
+        node, waiting = blake2b(b"\0" + leaf, digest_size=KEY).digest(), self.waiting
+        for level, other in enumerate(waiting):
+            if other is None:
+                waiting[level] = node
+                return
+            node, waiting[level] = self._node(other, node), None
+        waiting.append(node)
+
+    def root(self) -> bytes:
+        carried = None
+        for level, node in enumerate(self.waiting):
+            parts = [p for p in (node, carried) if p is not None]
+            if len(parts) == 1 and level + 1 == len(self.waiting):
+                return parts[0]
+            carried = self._node(*parts) if parts else None
+        return carried if carried is not None else blake2b(b"", digest_size=KEY).digest()
+
+
+def merkle(keys: Iterable[bytes]) -> bytes:
+    tree = Merkle()
+    for k in keys:
+        tree.add(k)
+    return tree.root()
+
+
+def column_list(column: pa.Array) -> list:
+    """to_pylist(), faster; columns of numbers with nulls keep them."""
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
 
 
 def split_keys(keys: bytes) -> list[bytes]:
@@ -199,59 +287,61 @@ def _pack_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["kind", "key", "doc_id", "n", "body", "root"])
 
 
-def _some(batches: Iterator[pa.RecordBatch], most: int = 1_500_000) -> Iterator[list[tuple]]:
-    """(doc_id, text in UTF-8) of a few documents at a time, of about so many bytes."""
-    held, size = [], 0
+def _some(batches: Iterator[pa.RecordBatch], most: int = SOME) -> Iterator[tuple[list, pa.Array]]:
+    """Ids and texts of a few documents at a time, of about so many bytes."""
     for batch in batches:
-        texts = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text").cast(pa.binary())], names=["doc_id", "text"])
-        for doc_id, text in records(texts, "doc_id", "text"):
-            held.append((doc_id, text or b""))
-            size += len(text or b"")
-            if size >= most or len(held) >= 1000:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
+        texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
+        doc_ids = batch.column("doc_id")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        low = 0
+        while low < len(sizes):
+            high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + most, "right")))
+            yield doc_ids.slice(low, high - low).to_pylist(), texts.slice(low, high - low)
+            low = high
 
 
 def _encode(vocabulary: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, sent, row = words_of(vocabulary), set(), 0
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
-        for some in _some(batches):
+        for doc_ids, texts in _some(batches):
             rows: list[tuple] = []
-            encoded = words.ids([text.split() for _, text in some], end)
-            for (doc_id, _), raw in zip(some, encoded, strict=True):
-                ids = np.frombuffer(raw, words.type)
-                size, last, keys = ids.itemsize, 0, []
-                for stop in cuts(ids):
-                    body = raw[last * size : stop * size]
+            ids, bounds = words.encode(texts, end)
+            raw, size, found = ids.tobytes(), ids.itemsize, borders(ids)
+            inner = np.searchsorted(found, bounds).tolist()
+            bounds, found = bounds.tolist(), found.tolist()
+            for i, doc_id in enumerate(doc_ids):
+                start, stop, keys = bounds[i], bounds[i + 1], []
+                last = start
+                for cut in cuts(found[inner[i] : inner[i + 1]], start, stop):
+                    body = raw[last * size : cut * size]
                     key = address(body)
                     keys.append(key)
                     if key not in sent:
                         if len(sent) >= CACHE_KEYS:
                             sent.clear()
                         sent.add(key)
-                        rows.append(("chunks", key, None, stop - last, body, None))
-                    last = stop
+                        rows.append(("chunks", key, None, cut - last, body, None))
+                    last = cut
                 row += 1
-                rows.append(("documents", address(f"{task}:{row}".encode()), doc_id, len(ids), b"".join(keys), merkle(keys)))
+                rows.append(("documents", address(f"{task}:{row}".encode()), doc_id, stop - start, b"".join(keys), merkle(keys)))
             yield _pack_batch(rows)
 
     return run
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of a key are in this partition: the first chunk of each address goes on, and all documents."""
-    seen: set[bytes] = set()
+    """Rows come sorted by key: the first chunk of each address goes on, and all documents. Only the last key is remembered."""
+    last = None
     for batch in batches:
-        keep = []
-        for kind, key in zip(batch.column("kind").to_pylist(), batch.column("key").to_pylist(), strict=True):
-            new = kind != "chunks" or key not in seen
-            if new and kind == "chunks":
-                seen.add(key)
-            keep.append(new)
-        yield batch.filter(pa.array(keep, pa.bool_()))
+        if not batch.num_rows:
+            continue
+        keys, chunk = batch.column("key"), pc.equal(batch.column("kind"), "chunks")
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = pc.not_equal(keys.slice(1), keys.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+        new[0] = keys[0].as_py() != last
+        last = keys[-1].as_py()
+        yield batch.filter(pa.array(new | ~chunk.to_numpy(zero_copy_only=False)))
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,41 +358,54 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 RECIPES = "part long, row long, doc_id long, n long, at long, keys binary, root binary"
-MANIFEST = "part long, first long, documents long, n long, root binary"
+PARTS = "part long, documents long, n long, root binary"
+MANIFEST = "part long, first long, documents long, n long, root binary, size int"
 
 
 def _manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per file of recipes: the Merkle root of its documents' roots, of which a task holds 16 bytes each."""
-    held: dict[int, tuple[list[bytes], int]] = {}
+    """One row per file of recipes, with the Merkle root of its documents' roots, which come in order."""
+    rows: list[list] = []
+    tree = Merkle()
     for batch in batches:
         for part, n, root in records(batch, "part", "n", "root"):
-            roots, total = held.get(part, ([], 0))
-            roots.append(root)
-            held[part] = roots, total + n
-    rows = [(p, len(r), n, merkle(r)) for p, (r, n) in sorted(held.items())]
+            if not rows or rows[-1][0] != part:
+                if rows:
+                    rows[-1][3] = tree.root()
+                rows.append([part, 0, 0, b""])
+                tree = Merkle()
+            tree.add(root)
+            rows[-1][1] += 1
+            rows[-1][2] += n
+    if rows:
+        rows[-1][3] = tree.root()
     types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names=["part", "documents", "n", "root"])
 
 
+def _parts(recipes: DataFrame) -> DataFrame:
+    return arrow_map(recipes.select("part", "row", "n", "root").repartition("part").sortWithinPartitions("part", "row"), _manifest, PARTS)
+
+
 def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end: int = END_ID) -> None:
-    spark = docs.sparkSession
+    """end must be below the size of the vocabulary."""
+    spark, vocabulary = docs.sparkSession, vocabulary or default_vocabulary()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    packed = arrow_map(rows, _encode(vocabulary or default_vocabulary(), end), PACK).repartition("key")
+    packed = arrow_map(rows, _encode(vocabulary, end), PACK).repartition("key").sortWithinPartitions("key")
     arrow_map(packed, _once, PACK).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/packed")
     documents = spark.read.schema(PACK).parquet(f"{path}/packed").where("kind = 'documents'")
     ordered = documents.select("doc_id", "n", F.col("body").alias("keys"), "root").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     arrow_map(ordered, _numbered, RECIPES).write.parquet(f"{path}/recipes")
-    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes").select("part", "row", "n", "root")
-    roots = arrow_map(recipes.repartition("part").sortWithinPartitions("part", "row"), _manifest, "part long, documents long, n long, root binary")
     first = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    roots.select("part", first.alias("first"), "documents", "n", "root").coalesce(1).write.parquet(f"{path}/manifest")
+    size = F.lit(np.dtype(words_of(vocabulary).type).itemsize).cast("int").alias("size")
+    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
+    _parts(recipes).select("part", first.alias("first"), "documents", "n", "root", size).coalesce(1).write.parquet(f"{path}/manifest")
 
 
 def _checked(with_body: bool, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, sums, counts = [], [], []
-            for key, n, body in records(batch, "key", "n", "body"):
+            for key, n, body in zip(*(column_list(batch.column(c)) for c in ("key", "n", "body")), strict=True):
                 if address(body) != key or len(body) != n * size:
                     raise ValueError(f"chunk {key.hex()} is damaged")
                 keys.append(key)
@@ -314,7 +417,7 @@ def _checked(with_body: bool, size: int):
     return run
 
 
-def _times(matrix: tuple[int, ...], vector: int) -> int:
+def _times(matrix: list[int], vector: int) -> int:
     out, i = 0, 0
     while vector:
         if vector & 1:
@@ -324,22 +427,30 @@ def _times(matrix: tuple[int, ...], vector: int) -> int:
     return out
 
 
-@lru_cache(maxsize=8192)
-def _zeros(length: int) -> tuple[int, ...]:
-    """What so many zero bytes do to a crc32, as a matrix over bits."""
-    power = (0xEDB88320, *[1 << i for i in range(31)])  # one zero bit
-    bits, out = length * 8, tuple(1 << i for i in range(32))
-    while bits:
-        if bits & 1:
-            out = tuple(_times(power, v) for v in out)
-        power = tuple(_times(power, v) for v in power)
-        bits >>= 1
+@lru_cache(maxsize=1)
+def _doublings() -> np.ndarray:
+    """What 1, 2, 4, ... zero bytes do to a crc32: for each of its four bytes and each value of that byte the part of the outcome."""
+    matrix = [0xEDB88320, *[1 << i for i in range(31)]]  # one zero bit, as a matrix over bits
+    out = np.zeros((48, 4, 256), np.uint32)
+    for n in range(-3, len(out)):
+        if n >= 0:
+            for byte in range(4):
+                out[n, byte] = [_times(matrix, v << 8 * byte) for v in range(256)]
+        matrix = [_times(matrix, v) for v in matrix]
     return out
 
 
-def joined_crc(crc: int, other: int, length: int) -> int:
-    """The crc32 of two byte strings one after the other, the second of the given length."""
-    return _times(_zeros(length), crc) ^ other
+def shifted(crc: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The part of some bytes' crc32 in that of a longer string that so many bytes follow them in; the parts' exclusive or is its crc32."""
+    crc, left, tables = crc.astype(np.uint32), lengths.astype(np.int64), _doublings()
+    for t in tables:
+        if not left.any():
+            break
+        odd = np.flatnonzero(left & 1)
+        c = crc[odd]
+        crc[odd] = t[0][c & 255] ^ t[1][c >> 8 & 255] ^ t[2][c >> 16 & 255] ^ t[3][c >> 24]
+        left >>= 1
+    return crc
 
 
 def _whole(with_ids: bool, size: int):
@@ -347,38 +458,63 @@ def _whole(with_ids: bool, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, lists = [], batch.column("parts")
-            fields = {f: lists.flatten().field(f).to_pylist() for f in ("key", "held", "crc", *["body"] * with_ids)}
-            at = 0
-            for (doc_id, start, n, root), count in zip(records(batch, "doc_id", "start", "n", "root"), lists.value_lengths().to_pylist(), strict=True):
-                keys, held, crcs = (fields[f][at : at + count] for f in ("key", "held", "crc"))
-                if merkle(keys) != root or sum(held) != n:
-                    raise ValueError(f"document {doc_id} can't be put together")
-                crc = 0
-                for more, size_of in zip(crcs, held, strict=True):
-                    crc = joined_crc(crc, more, 4 * size_of)
-                ids = (np.frombuffer(b"".join(fields["body"][at : at + count]), f"<u{size}").astype(np.int32),) if with_ids else ()
-                out.append((doc_id, start, n, crc, *ids))
-                at += count
-            names = ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], types[i]) for i in range(len(names))], names=names)
+            if not batch.num_rows:
+                continue
+            doc_ids, starts, tokens, roots = (column_list(batch.column(c)) for c in ("doc_id", "start", "n", "root"))
+            lists = batch.column("parts")
+            counts = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            parts = lists.flatten()
+            keys, held = column_list(parts.field("key")), pc.fill_null(parts.field("held"), -1).to_numpy(zero_copy_only=False)
+            after = np.cumsum(counts)
+            ends = np.cumsum(held)
+            document = np.repeat(np.arange(len(counts)), counts)
+            totals = np.bincount(document, np.maximum(held, 0), len(counts)).astype(np.int64)
+            lost = np.bincount(document, held < 0, len(counts)) > 0
+            bases = np.cumsum(totals)  # right where nothing is lost, and else reading fails
+            for i in np.flatnonzero(lost | (counts == 0) | (totals != np.asarray(tokens))).tolist()[:1]:
+                raise ValueError(f"document {doc_ids[i]} can't be put together")
+            crcs = shifted(parts.field("crc").to_numpy(zero_copy_only=False), 4 * (bases[document] - ends))
+            crcs = np.bitwise_xor.reduceat(crcs, after - counts)
+            bodies, ids = column_list(parts.field("body")) if with_ids else [], []
+            for i, (low, high) in enumerate(zip((after - counts).tolist(), after.tolist(), strict=True)):
+                if merkle(keys[low:high]) != roots[i]:
+                    raise ValueError(f"document {doc_ids[i]} can't be put together")
+                if with_ids:
+                    ids.append(np.frombuffer(b"".join(bodies[low:high]), f"<u{size}").astype(np.int32))
+            arrays = [batch.column("doc_id"), pa.array(starts, pa.int64()), pa.array(tokens, pa.int64()), pa.array(crcs.astype(np.int64))]
+            arrays += [pa.array(ids, pa.list_(pa.int32()))] * with_ids
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
 
     return run
 
 
-def read_store(spark: SparkSession, path: str, with_ids: bool = True, size: int = 2) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and, with_ids, ids. Without ids only digests of chunks are moved, not their bodies."""
-    chunks = spark.read.schema(PACK).parquet(f"{path}/packed").where("kind = 'chunks'").select("key", "n", "body")
-    chunks = arrow_map(chunks, _checked(with_ids, size), "key binary, held long, crc long" + ", body binary" * with_ids)
+def check_manifest(recipes: DataFrame, manifest: DataFrame) -> int:
+    """Compares the recipes with the manifest, part by part, and gives the bytes of an id; ValueError if anything differs."""
+    read = _parts(recipes).withColumnsRenamed({"documents": "d", "n": "m", "root": "r"})
+    same = F.col("documents").eqNullSafe(F.col("d")) & F.col("n").eqNullSafe(F.col("m")) & F.col("root").eqNullSafe(F.col("r"))
+    found = manifest.join(read, "part", "full").agg(F.sum((~same).cast("int")).alias("wrong"), F.min("size").alias("low"), F.max("size").alias("size")).first()
+    if found["wrong"] or found["low"] != found["size"]:
+        raise ValueError(f"{found['wrong']} parts differ from the manifest")
+    return found["size"] or 2
+
+
+def read_store(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, with_ids, ids. Without ids only digests of chunks are moved, not their bodies.
+
+    Every part's root, documents and ids are compared with the manifest first. A chunk that is missing, as one that is damaged, makes
+    reading fail, so no document is ever left out.
+    """
     recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
     manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    size = check_manifest(recipes, manifest)
+    chunks = spark.read.schema(PACK).parquet(f"{path}/packed").where("kind = 'chunks'").select("key", "n", "body")
+    chunks = arrow_map(chunks, _checked(with_ids, size), "key binary, held long, crc long" + ", body binary" * with_ids)
     keys = F.transform(F.sequence(F.lit(0), (F.length("keys") / KEY).cast("int") - 1), lambda i: F.substring("keys", i * KEY + 1, F.lit(KEY)))
-    asked = recipes.select("part", "row", F.posexplode(keys).alias("pos", "key")).join(chunks, "key")
+    asked = recipes.select("part", "row", F.posexplode(keys).alias("pos", "key")).join(chunks, "key", "left")
     one = F.struct("pos", "key", "held", "crc", *["body"] * with_ids)
     parts = asked.groupBy("part", "row").agg(F.sort_array(F.collect_list(one)).alias("parts"))
     starts = recipes.drop("keys").join(maybe_broadcast(manifest.select("part", "first")), "part")
-    met = starts.join(parts, ["part", "row"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n", "root", "parts")
+    met = starts.join(parts, ["part", "row"], "left").select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n", "root", "parts")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     return arrow_map(met, _whole(with_ids, size), schema)
 
