@@ -144,8 +144,9 @@ def mix(
     """docs with size, source_size, target, copies and taken = copies * size."""
     ship(docs.sparkSession)
     docs = docs.drop(*ADDED)
-    sized = docs.withColumn("size", word_count(F.col(text_col)))
-    counts = stage(sized.groupBy(F.col(source_col).alias("source"), "size").agg(F.count(F.lit(1)).alias("n")), "counts")
+    source, doc_id = F.col(source_col), F.col(id_col)
+    sized = docs.select(F.struct("*").alias("row"), source.alias("source"), doc_id.alias("id"), word_count(F.col(text_col)).alias("size"))
+    counts = stage(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "counts")
     state = balance(counts, stage(targets(counts, weights, most), "targets"), most)
     state = stage(state, "balanced")
     key = state.withColumnRenamed("source", "s")
@@ -158,19 +159,19 @@ def mix(
     classes = stage(rated.groupBy("source").applyInPandas(_round(most), schema), "classes")
     largest = classes.agg(F.max("n")).first()[0] or 0
     buckets = max(64, -(-largest // BUCKET_ROWS))
-    bucket = F.pmod(F.xxhash64(F.lit(6), F.col(id_col)), F.lit(buckets))
-    tagged = sized.withColumns({"__source": F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("")), "__bucket": bucket})
-    held = tagged.groupBy("__source", "size", "__bucket").agg(F.count(F.lit(1)).alias("held"))
-    classes = classes.withColumn("__source", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))).drop("source")
-    upto = F.sum("held").over(Window.partitionBy("__source", "size").orderBy("__bucket"))
+    tag = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")).alias("tag")
+    bucket = F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(buckets)).alias("bucket")
+    tagged = sized.select("row", "id", "size", tag, bucket)
+    held = tagged.groupBy("tag", "size", "bucket").agg(F.count(F.lit(1)).alias("held"))
+    classes = classes.select(tag, "size", "n", "copies", "source_size", "target")
+    upto = F.sum("held").over(Window.partitionBy("tag", "size").orderBy("bucket"))
     over = F.col("copies") % F.col("n")
-    quota = held.join(classes, ["__source", "size"]).withColumn("upto", upto)
+    quota = held.join(classes, ["tag", "size"]).withColumn("upto", upto)
     extra = F.floor(over * F.col("upto") / F.col("n")) - F.floor(over * (F.col("upto") - F.col("held")) / F.col("n"))
-    quota = quota.select(
-        "__source", "size", "__bucket", "source_size", "target", F.floor(F.col("copies") / F.col("n")).alias("__all"), extra.alias("__extra")
-    )
-    quota = stage(quota, "quota")
-    rank = F.row_number().over(Window.partitionBy("__source", "size", "__bucket").orderBy(F.xxhash64(F.lit(7), F.col(id_col)), F.col(id_col)))
-    copies = (F.col("__all") + F.when(rank <= F.col("__extra"), 1).otherwise(0)).cast("long")
-    mixed = tagged.join(quota, ["__source", "size", "__bucket"]).withColumn("copies", copies)
-    return mixed.select(*[F.col(f"`{c}`") for c in docs.columns], "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    every = F.floor(F.col("copies") / F.col("n"))
+    quota = stage(quota.select("tag", "size", "bucket", "source_size", "target", every.alias("every"), extra.alias("extra")), "quota")
+    rank = F.row_number().over(Window.partitionBy("tag", "size", "bucket").orderBy(F.xxhash64(F.lit(7), "id"), "id"))
+    copies = (F.col("every") + F.when(rank <= F.col("extra"), 1).otherwise(0)).cast("long")
+    mixed = tagged.join(quota, ["tag", "size", "bucket"]).withColumn("copies", copies)
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns]  # under their struct, the columns of docs clash with no name used here
+    return mixed.select(*own, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
