@@ -2,28 +2,27 @@ r"""Chat formatting from an event log, with DataFrame functions only.
 
 A log has one row per event: conversation, turn, sequence number, kind, role and text. Kinds are "message" (opens a message),
 "delta" (appends to the turn's last message), "edit" (replaces its text) and "regenerate" (empties it, later deltas build it anew);
-a null kind is a message. Events are grouped by conversation and block of turns, sorted by turn and sequence, folded into final
-messages and rendered; a second grouping joins the blocks. So one long conversation is folded by many tasks, and only its rendered
-text meets in one row.
+a null kind is a message. Events are partitioned by conversation and turn, sorted by sequence and folded into final messages; these are
+grouped by block of turns and rendered, and a second grouping joins the blocks. So one long conversation is folded by many tasks, only
+its rendered text meets in one row, and all work grows with the events, whether of many turns or of one.
 
 The template is <|im_start|>role\ntext<|im_end|>\n. In roles and texts a backslash is doubled and "<|" becomes "<\|", so that no
 text can hold a control string and unescape() gives back exactly what was written; in roles a line feed becomes "\n".
 
 Defined cases: null roles and texts are empty; null conversations form one conversation; null turns and sequence numbers come first;
 events that tie are ordered by kind, role and text; a delta, edit or regenerate without a message opens one; repeated message rows
-are messages of their own. An empty log gives an empty result, and other columns are ignored.
+are messages of their own; events of an unknown kind are left out, and with them a conversation that has no others. An empty log gives an empty result, and other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Turns folded by one group.
 BLOCK = 64
 KINDS = ("message", "delta", "edit", "regenerate")
-MESSAGES = "array<struct<turn:bigint,role:string,text:string>>"
 
 
 def escape(text: Column) -> Column:
@@ -46,27 +45,36 @@ def unescape_role(role: Column) -> Column:
     return F.when(~F.contains(role, F.lit("\\")), role).otherwise(F.array_join(pieces, "\\"))
 
 
-def _fold(events: Column) -> Column:
-    """The messages that a sorted array of one block's events leaves; a turn's events touch its last message only."""
+def _folded(events: DataFrame) -> DataFrame:
+    """The messages that events (conv_id, turn, seq, rank, role, text) leave, numbered within their turn.
 
-    def step(done: Column, e: Column) -> Column:
-        last = F.element_at(done, -1)
-        fresh = (e["rank"] == 0) | (F.size(done) == 0)
-        same = ~fresh & last["turn"].eqNullSafe(e["turn"])
-        text = (
-            F.when(e["rank"] == 1, F.concat(last["text"], e["text"]))
-            .when(e["rank"] == 2, e["text"])
-            .otherwise(F.lit(""))
-        )
-        opened = F.struct(e["turn"].alias("turn"), e["role"].alias("role"), F.when(e["rank"] == 3, F.lit("")).otherwise(e["text"]).alias("text"))
-        changed = F.struct(last["turn"].alias("turn"), last["role"].alias("role"), text.alias("text"))
-        return F.when(
-            F.coalesce(same, F.lit(False)), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(changed)).cast(MESSAGES)
-        ).otherwise(F.concat(done, F.array(opened)).cast(MESSAGES))
+    A message's text is what its last event but deltas wrote, with the deltas after it; so the events of a turn are numbered by the
+    message that they touch and by how often it was written anew, and only the last writing is put together.
+    """
+    turn = Window.partitionBy("conv_id", "turn").orderBy("seq", "rank", "role", "text")
+    opens = (F.col("rank") == 0) | (F.col("at") == 1)
+    told = events.withColumn("at", F.row_number().over(turn))
+    told = told.withColumn("text", F.when(F.col("rank") == 3, "").otherwise(F.col("text")))
+    turn = Window.partitionBy("conv_id", "turn").orderBy("at")
+    numbered = told.select("*", F.sum(opens.cast("int")).over(turn).alias("message"), F.sum((opens | (F.col("rank") != 1)).cast("int")).over(turn).alias("writing"))
+    pieces = F.sort_array(F.collect_list(F.struct("at", "text")))
+    written = numbered.groupBy("conv_id", "turn", "message", "writing").agg(F.min(F.struct("at", "role")).alias("first"), pieces.alias("pieces"))
+    last = written.groupBy("conv_id", "turn", "message").agg(F.min("first").alias("first"), F.max_by("pieces", "writing").alias("pieces"))
+    return last.select("conv_id", "turn", "message", F.col("first.role").alias("role"), F.array_join(F.col("pieces.text"), "").alias("text"))
+
+
+def _before(lengths: Column) -> Column:
+    """For each of some lengths the sum of those before it. It runs over the blocks of a conversation, not over its turns."""
+    sums = F.aggregate(lengths, F.array(F.lit(0).cast("long")), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+    return F.slice(sums, F.lit(1), F.size(lengths))
 
-    simple = F.transform(events, lambda e: F.struct(e["turn"].alias("turn"), e["role"].alias("role"), e["text"].alias("text"))).cast(MESSAGES)
-    folded = F.aggregate(events, F.array().cast(MESSAGES), step)
-    return F.when(F.exists(events, lambda e: e["rank"] != 0), folded).otherwise(simple)
+
+def _placed(lengths: Column, loss_role: str) -> Column:
+    """Where the turns of one block lie in the block's text."""
+    places = _before(F.transform(lengths, lambda x: (x["head"] + x["body"] + len(END)).cast("long")))
+    return F.zip_with(lengths, places, lambda x, at: F.struct(
+        x["role"].alias("role"), at.alias("at"), (at + x["head"]).alias("start"), x["body"].cast("long").alias("length"), (x["role"] == loss_role).alias("loss")
+    ))
 
 
 def chat_format(
@@ -85,22 +93,18 @@ def chat_format(
     at is where the turn begins in formatted, start and length say where its escaped text lies, in code points, and loss whether
     that text counts for the loss. seq_col and kind_col may be missing: then each row is a message.
     """
-    turn = F.col(turn_col).cast("long")
-    kind = F.coalesce(F.col(kind_col), F.lit("message")) if kind_col else F.lit("message")
-    one = F.struct(
-        turn.alias("turn"),
-        (F.col(seq_col).cast("long") if seq_col else turn).alias("seq"),
-        (F.array_position(F.array(*map(F.lit, KINDS)), kind) - 1).cast("int").alias("rank"),
+    log = events.select(
+        F.col(conv_col).alias("conv_id"),
+        F.col(turn_col).cast("long").alias("turn"),
+        (F.col(seq_col) if seq_col else F.col(turn_col)).cast("long").alias("seq"),
+        (F.array_position(F.array(*map(F.lit, KINDS)), F.coalesce(F.col(kind_col), F.lit("message"))) - 1 if kind_col else F.lit(0)).cast("int").alias("rank"),
         F.coalesce(F.col(role_col), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    part = F.coalesce(F.floor(turn / block), F.lit(-(2**62)))
-    blocks = (
-        events.select(F.col(conv_col).alias("conv_id"), part.alias("part"), one.alias("e"))
-        .groupBy("conv_id", "part")
-        .agg(F.sort_array(F.collect_list("e")).alias("events"))
-        .select("conv_id", "part", _fold(F.col("events")).alias("messages"))
-    )
+    if kind_col:
+        log = _folded(log.where("rank >= 0")).withColumnRenamed("message", "seq")
+    part = F.coalesce(F.floor(F.col("turn") / block), F.lit(-(2**62)))
+    blocks = log.groupBy("conv_id", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("turn", "seq", "role", "text"))).alias("messages"))
     rendered = F.transform(
         "messages",
         lambda m: F.struct(
@@ -117,21 +121,13 @@ def chat_format(
             ).alias("lengths"),
         ).alias("piece"),
     )
-    whole = pieces.groupBy("conv_id").agg(F.sort_array(F.collect_list("piece")).alias("p"))
-    turn_type = "struct<role:string,at:bigint,start:bigint,length:bigint,loss:boolean>"
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{turn_type}>").alias("turns"))
-
-    def place(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["head"]
-        here = F.struct(x["role"].alias("role"), acc["at"].alias("at"), begin.alias("start"), x["body"].cast("long").alias("length"), (x["role"] == loss_role).alias("loss"))
-        return F.struct((begin + x["body"] + len(END)).alias("at"), F.concat(acc["turns"], F.array(here)).cast(f"array<{turn_type}>").alias("turns"))
-
-    lengths = F.flatten(F.transform("p", lambda x: x["lengths"]))
-    return whole.select(
-        "conv_id",
-        F.array_join(F.transform("p", lambda x: x["text"]), "").alias("formatted"),
-        F.aggregate(lengths, start, place, lambda acc: acc["turns"]).alias("turns"),
-    )
+    placed = pieces.select("conv_id", F.struct("piece.part", "piece.text", _placed(F.col("piece.lengths"), loss_role).alias("turns"), F.char_length("piece.text").cast("long").alias("length")).alias("piece"))
+    whole = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list("piece")).alias("p"))
+    whole = whole.select("conv_id", "p", _before(F.col("p.length")).alias("before"))
+    moved = F.zip_with("p", "before", lambda x, by: F.transform(x["turns"], lambda t: F.struct(
+        t["role"].alias("role"), (t["at"] + by).alias("at"), (t["start"] + by).alias("start"), t["length"].alias("length"), t["loss"].alias("loss")
+    )))
+    return whole.select("conv_id", F.array_join(F.col("p.text"), "").alias("formatted"), F.flatten(moved).alias("turns"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
