@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,21 +27,27 @@ _staged: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local session gets a temporary one; on a
+    cluster every machine would have its own, so there it is an error."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="qspace-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _remove_staged() -> None:
     for spark, path in _staged:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(spark, path)
         except Exception:  # the session has ended: its owner clears the shared folder
             return
 
@@ -46,6 +55,16 @@ def _remove_staged() -> None:
 atexit.register(_remove_staged)
 
 
+def staged_count() -> int:
+    return len(_staged)
+
+
+def remove_staged(first: int, last: int) -> None:
+    """Delete what was staged from number first to before number last; nothing that is still to be read may be among it."""
+    for spark, path in _staged[first:last]:
+        _remove(spark, path)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/qspace-{label}-{uuid.uuid4().hex}"
     _staged.append((spark, path))
@@ -87,19 +106,33 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(str(target))
 
 
-#: Modules whose workers remember things, with what makes them forget. A worker serves many tasks and keeps one module's memory.
-MEMORIES: dict[str, Callable[[], None]] = {}
+#: Modules whose workers remember things, with the cached function that holds them. A worker serves many tasks and keeps one module's memory.
+MEMORIES: dict[str, Any] = {}
+
+
+def _give_back() -> None:
+    """Memory that is free goes back to the system, as other processes share it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim is not None:
+        trim(0)
+
+
+def _forget(keep: str) -> None:
+    for module, cached in MEMORIES.items():
+        if module != keep and cached.cache_info().currsize:
+            cached.cache_clear()
+            gc.collect()  # what was held refers to itself
+            _give_back()
 
 
 def _released(run: Callable) -> Callable:
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for module, forget in MEMORIES.items():
-            if module != run.__module__:
-                forget()
+        _forget(run.__module__)
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            _give_back()
 
     return wrapped
 

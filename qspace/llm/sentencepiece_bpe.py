@@ -30,11 +30,11 @@ from qspace.llm.common import MEMORIES, arrow_map, records
 
 SPACE_MARK = "▁"
 #: How many words and chunks a worker remembers in each of two generations, the longest of them, and how many pairs; all bound memory only.
-CACHE_ENTRIES, CACHE_LENGTH, PAIRS = 600_000, 48, 1_000_000
+CACHE_ENTRIES, CACHE_LENGTH, PAIRS = 250_000, 48, 400_000
 #: Steps between states that an automaton keeps beside its tree.
 STEPS = 300_000
 #: Characters of texts that are encoded together.
-SOME = 6_000_000
+SOME = 3_000_000
 #: Where no cut by kinds of characters keeps all pieces whole, texts are cut before spaces only, or not at all.
 SIGNS = frozenset(".,;:!?")
 WORDS, WHOLE = rf"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+", r"(?s:.+)"
@@ -302,7 +302,7 @@ class PrefixTable:
                 some = pc.replace_substring(some, "\n", " \n")
             lists = pc.split_pattern(some, " ")
             words = lists.values.dictionary_encode()
-            values = self.words.get(words.dictionary.to_pylist())
+            values = self.words.get(words.dictionary.to_numpy(zero_copy_only=False).tolist())
             width = array(self.code).itemsize
             sizes = np.fromiter(map(len, values), np.int64, len(values)) // width
             ids, starts = np.frombuffer(b"".join(values), self.code), np.cumsum(sizes) - sizes
@@ -336,7 +336,7 @@ def table(model: str) -> PrefixTable:
     return PrefixTable(model)
 
 
-MEMORIES[__name__] = table.cache_clear
+MEMORIES[__name__] = table
 
 
 def default_model() -> str:
