@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qspace.llm.common import maybe_broadcast, read, stage
+from qspace.llm.common import maybe_broadcast, read, remove_staged, stage, staged_count
 from qspace.llm.line_dedup import line_dedup
 from qspace.llm.mixing import mix
 from qspace.llm.near_dedup import near_dedup
@@ -62,7 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """Once a stage is written, what its operator and the stage before it left in the shared folder goes."""
+    docs, before = read(spark, sf_dir, "documents"), staged_count()
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        written = staged_count() - 1
+        remove_staged(before, written)
+        before = written
     return STAGES[-1][1](spark, docs, sf_dir)
