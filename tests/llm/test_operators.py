@@ -133,6 +133,13 @@ def test_near_dedup_of_documents(spark, sf, texts, words):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
 
 
+def test_near_dedup_finds_links_close_to_the_threshold(spark):
+    """All links of a larger table, many of them just above the threshold, by comparing all pairs of like sizes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = brute_sets({r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}, 2)
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(docs, words=2).collect()} == brute_components(sets)
+
+
 def test_near_dedup_of_stars_chains_and_crowds(spark, monkeypatch):
     """Copies that only their base links, chains that only neighbours link, and texts alike below the threshold, over several blocks."""
     monkeypatch.setattr(near_dedup, "BLOCK", 32)
