@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -130,7 +130,10 @@ class PrefixTable:
         self.chunks, self.words = Memory(self.many), Memory(self.word_ids)
         self.length = [0] * size
         met = {}
-        self.order = {piece: n for n, piece in enumerate(sorted(self.ids, key=lambda p: (len(p) > 1, -self.score[p])))}
+        place = {score: n for n, score in enumerate(sorted({s for p, s in self.score.items() if len(p) > 1}, reverse=True))}
+        self.order = {p: place[s] if len(p) > 1 else -1 for p, s in self.score.items()}  # equal scores are merged in the order of the text
+        seen = Counter(self.order.values())
+        self.tied = {self.ids[p] for p, n in self.order.items() if n >= 0 and seen[n] > 1}
         self.halves: dict[int, tuple[int, int]] = {}
         for piece, i in self.ids.items():
             whole, halves = (True, None) if len(piece) == 1 else self.last_merge(piece)
@@ -140,6 +143,7 @@ class PrefixTable:
                 if halves:
                     self.halves[i] = (self.ids[halves[0]], self.ids[halves[1]])
         self.automaton = Automaton(met)
+        self.piece_of = {i: piece for piece, i in self.ids.items()}
         self.rank = [-1] * size
         for piece, i in self.ids.items():
             self.rank[i] = self.order[piece]
@@ -156,27 +160,38 @@ class PrefixTable:
         self.cut = next(c for c in cuts if all(c.fullmatch(p) for p in self.ids))
         self.kinds = self.cut.pattern not in (WORDS, WHOLE)
 
-    def last_merge(self, text: str) -> tuple[bool, tuple[str, str] | None]:
-        """Whether merging step by step makes one piece of a short text, and which two it merged last."""
-        parts, score, halves = list(text), self.score, None
+    def _steps(self, text: str) -> Iterator[list[str]]:
+        """The parts of a short text before and after each merge."""
+        parts, score = list(text), self.score
         while True:
+            yield list(parts)
             best, at = None, -1
             for i in range(len(parts) - 1):
                 s = score.get(parts[i] + parts[i + 1])
                 if s is not None and (best is None or s > best):
                     best, at = s, i
             if best is None:
-                return len(parts) == 1, halves
-            halves = (parts[at], parts[at + 1])
+                return
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def merged(self, text: str) -> list[str]:
+        return list(self._steps(text))[-1]
+
+    def last_merge(self, text: str) -> tuple[bool, tuple[str, str] | None]:
+        """Whether merging step by step makes one piece of a short text, and which two it merged last."""
+        *_, before, last = [None, *self._steps(text)]
+        return len(last) == 1, tuple(before) if before and len(last) == 1 else None
+
     def stable(self, left: int, right: int) -> bool:
         """Whether two pieces side by side stay as they are.
 
         Their merges are undone, the latest first, down to the characters at the border: the pair is stable unless two parts that
         meet there at some time make a piece that would have been merged before what was undone since, or, of equal order on the
-        right, as it is further left.
+        right, as it is further left. Pieces of equal scores, such as runs of spaces, are merged step by step instead.
         """
+        if left in self.tied or right in self.tied:
+            a, b = self.piece_of[left], self.piece_of[right]
+            return self.merged(a + b) == [a, b]
         rank, joins, halves = self.rank, self.joins, self.halves
         a, b, limit = left, right, 1 << 30
         while True:
