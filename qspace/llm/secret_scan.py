@@ -46,15 +46,22 @@ SPACES = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x
 KEYWORD = re.compile("|".join(f"({k})" for k in sorted(KEYWORDS, key=len, reverse=True)), re.I | re.A)
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 EPOCHS, STEP, RIDGE = 80, 0.15, 1e-3
-_BREAK, _BLANK, _DIGIT, _UPPER, _LOWER, _HEX, _SIGN = (np.array([c in chars for c in map(chr, range(129))]) for chars in (
-    SEPARATORS + " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f", " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "={}:;\"'"))
+_KINDS = (SEPARATORS + " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f", " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "={}:;\"'", ".")
+_BREAK, _BLANK, _DIGIT, _UPPER, _LOWER, _HEX, _SIGN, _DOT = range(8)
+#: For each sign the kinds that it is of, a bit each; signs beyond ASCII are of none.
+_FLAGS = bytes(sum((chr(c) in kind) << k for k, kind in enumerate(_KINDS)) if c < 128 else 0 for c in range(256))
+
+
+def holds_keyword(text: str) -> bool:
+    """Whether the patterns for keywords, which are much slower, can match at all."""
+    low = text.lower()
+    return any(k in low for k in KEYWORDS)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end), leftmost and without overlaps within a kind, by start and then kind as listed."""
-    low = text.lower()
     found = []
-    if any(k in low for k in KEYWORDS):
+    if holds_keyword(text):
         found += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= LEAST_VALUE]
     if "AKIA" in text:
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
@@ -73,12 +80,21 @@ OFFSETS = np.cumsum((0, *SIZES))
 
 def tokens(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all tokens, and a row of features of each, numbered over all columns."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    chars = np.minimum(codes, 128)
-    apart, blank = _BREAK[chars], _BLANK[chars]
-    if len(chars) and chars.max() == 128:
-        wide = np.isin(codes, SPACES)
-        apart, blank = apart | wide, blank | wide
+    if text.isascii():
+        codes = chars = np.frombuffer(text.encode(), np.uint8)
+    else:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        chars = np.minimum(codes, 128).astype(np.uint8)
+    flags = np.frombuffer(chars.tobytes().translate(_FLAGS), np.uint8)
+
+    def of(kind: int) -> np.ndarray:
+        return flags >> kind & 1
+
+    apart, blank = of(_BREAK).astype(bool), of(_BLANK).astype(bool)
+    if codes is not chars:
+        beyond = np.flatnonzero(codes > 127)
+        beyond = beyond[np.isin(codes[beyond], SPACES)]
+        apart[beyond] = blank[beyond] = True
     edges = np.flatnonzero(np.diff(np.concatenate([[True], apart, [True]])))
     a, b = edges[::2], edges[1::2]
     if not len(a):
@@ -86,33 +102,35 @@ def tokens(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = b - a
 
     def count(on: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(on) + 1, np.int32)
-        np.cumsum(on, out=total[1:])
-        return total[b] - total[a]
+        """How often on is set in each token; the sign after the last one is none."""
+        return np.add.reduceat(np.append(on, on.dtype.type(0)), edges, dtype=np.int64)[::2]
 
     def changed(on: np.ndarray) -> np.ndarray:
-        return count(np.concatenate([[False], on[1:] != on[:-1]])) - (on[a] != on[np.maximum(a - 1, 0)])
+        differs = np.zeros(len(on), np.uint8)
+        np.not_equal(on[1:], on[:-1], out=differs[1:].view(bool))
+        return count(differs) - differs[a]
 
-    is_digit, is_upper = _DIGIT[chars], _UPPER[chars]
-    digits, upper, lower = count(is_digit), count(is_upper), count(_LOWER[chars])
+    is_digit = of(_DIGIT)
+    digits, upper, lower = count(is_digit), count(of(_UPPER)), count(of(_LOWER))
     rest = n - digits - upper - lower
     same = n - 1 - changed(codes)
     key = np.zeros(len(a), np.int64)
-    for m in KEYWORD.finditer(text):
+    for m in KEYWORD.finditer(text) if holds_keyword(text) else ():
         at = int(np.searchsorted(a, m.start(), side="right")) - 1
         key[at] = m.lastindex
     before, second = np.concatenate([[7], key[:-1]]), np.concatenate([[7, 7], key])[: len(a)]
-    last = np.maximum.accumulate(np.where(blank, -1, np.arange(len(chars))))
-    at = np.where(a > 0, last[np.maximum(a - 1, 0)], -1)
+    dark = np.flatnonzero(~blank)
+    at = np.searchsorted(dark, a) - 1  # the last sign before a token that is no white space
+    at = np.where(at >= 0, dark[np.maximum(at, 0)], -1)
     left = np.where(at >= 0, chars[np.maximum(at, 0)], 0)
     sign = np.select([at < 0, left == ord("="), left == ord(":"), left == ord('"')], [0, 1, 2, 3], 4)
     after = np.where(b < len(chars), chars[np.minimum(b, len(chars) - 1)], 0)
     keyed = (before > 0) & (before < 7)
-    file_signs = int(_levels(_SIGN[chars].mean(), 0.005, 0.02, 0.08))
+    file_signs = int(_levels(of(_SIGN).mean(), 0.005, 0.02, 0.08))
     columns = [
-        (digits > 0) + 2 * (upper > 0) + 4 * (lower > 0) + 8 * (rest > 0), _levels(n, 16, 20, 24, 32, 40, 64), _levels(digits / n, 0.05, 0.2, 0.4, 0.7, 1.0), count(_HEX[chars]) == n,
+        (digits > 0) + 2 * (upper > 0) + 4 * (lower > 0) + 8 * (rest > 0), _levels(n, 16, 20, 24, 32, 40, 64), _levels(digits / n, 0.05, 0.2, 0.4, 0.7, 1.0), count(of(_HEX)) == n,
         _levels(same / n, 0.1, 0.3, 0.6), _levels(changed(is_digit) / n, 0.05, 0.15, 0.3, 0.5), sign, before, second, keyed + 2 * ((sign > 0) & (sign < 4)),
-        np.select([after == ord('"'), after == 0, after == ord(" ")], [0, 1, 2], 3), _levels(count(chars == ord(".")), 1, 3), key > 0, _levels(rest / n, 0.01, 0.2, 0.5),
+        np.select([after == ord('"'), after == 0, after == ord(" ")], [0, 1, 2], 3), _levels(count(of(_DOT)), 1, 3), key > 0, _levels(rest / n, 0.01, 0.2, 0.5),
         (chars[a] == ord("A")) & (n > 3) & np.array([text.startswith("AKIA", i) for i in a]) if "AKIA" in text else np.zeros(len(a), bool),
         np.full(len(a), file_signs), np.full(len(a), _levels(len(a), 10, 100, 1000)),
     ]
