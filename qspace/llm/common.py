@@ -79,6 +79,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def collect_heaps(spark: SparkSession) -> int:
+    """Every executor collects its Java garbage, so that the heap shrinks to a few times what is live and leaves room for Python workers;
+    twice, as what waits for a reference to be cleared goes the second time. As many one-row tasks as there are executors: idle ones get
+    one each. Returns that number."""
+    sc = spark.sparkContext
+    executors = max(1, len(sc._jsc.sc().statusTracker().getExecutorInfos()) - 1)  # the driver is among them
+    collect = "java_method('java.lang.System', 'gc')"
+    return len(spark.range(0, executors, 1, executors).selectExpr(f"{collect} AS once", f"{collect} AS twice").collect())
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

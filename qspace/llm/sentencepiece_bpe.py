@@ -30,11 +30,14 @@ from qspace.llm.common import MEMORIES, arrow_map, records
 
 SPACE_MARK = "▁"
 #: How many words and chunks a worker remembers in each of two generations, the longest of them, and how many pairs; all bound memory only.
-CACHE_ENTRIES, CACHE_LENGTH, PAIRS = 250_000, 48, 400_000
+#: Each number is just below one at which a dictionary doubles its room.
+CACHE_ENTRIES, CACHE_LENGTH, PAIRS = 87_000, 48, 349_000
+#: Marks for keys that were met once, a power of two.
+MARKS = 1 << 22
 #: Steps between states that an automaton keeps beside its tree.
 STEPS = 300_000
 #: Characters of texts that are encoded together.
-SOME = 3_000_000
+SOME = 1_000_000
 #: Where no cut by kinds of characters keeps all pieces whole, texts are cut before spaces only, or not at all.
 SIGNS = frozenset(".,;:!?")
 WORDS, WHOLE = rf"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+", r"(?s:.+)"
@@ -47,26 +50,38 @@ def kinds_cut(signs: str) -> str:
 
 
 class Memory:
-    """What was made of keys, in two generations: when the younger is full it becomes the older, from which what is asked for is taken over."""
+    """What was made of keys, in two generations: when the younger is full it becomes the older, from which what is asked for is taken over.
+
+    A key is remembered when it is met again, as most words occur once: the first time only a mark is set, by its hash.
+    """
 
     def __init__(self, make: Callable[[list[str]], list[bytes]]):
-        self.make, self.young, self.old = make, {}, {}
+        self.make, self.young, self.old, self.met = make, {}, {}, bytearray(MARKS)
 
     def get(self, keys: list[str]) -> list[bytes]:
         """The values of distinct keys; what is lacking is made at once."""
         found = list(map(self.young.get, keys))
         lacking = [i for i, v in enumerate(found) if v is None]
         if lacking:
-            if len(self.young) + len(lacking) > CACHE_ENTRIES:
-                self.old, self.young = self.young, {}
-            new = []
+            new, again, met = [], [], self.met
             for i in lacking:
-                found[i] = self.old.get(keys[i])
+                key = keys[i]
+                found[i] = self.old.get(key)
                 if found[i] is None:
                     new.append(i)
+                    place = hash(key) & MARKS - 1
+                    if not met[place]:
+                        met[place] = 1
+                        continue
+                if len(key) <= CACHE_LENGTH:
+                    again.append(i)
             for i, value in zip(new, self.make([keys[i] for i in new]), strict=True):
                 found[i] = value
-            self.young.update((keys[i], found[i]) for i in lacking if len(keys[i]) <= CACHE_LENGTH)
+            for start in range(0, len(again), CACHE_ENTRIES):
+                some = again[start : start + CACHE_ENTRIES]
+                if len(self.young) + len(some) > CACHE_ENTRIES:
+                    self.old, self.young, self.met = self.young, {}, bytearray(MARKS)
+                self.young.update([(keys[i], found[i]) for i in some])
         return found
 
 

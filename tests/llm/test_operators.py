@@ -263,6 +263,35 @@ def test_encode_decode_query(spark, sf, texts, encoder):
         assert r["decoded_sha256"] == hashlib.sha256(encoder.sp.decode(ids).encode()).hexdigest()
 
 
+def test_words_are_remembered_when_met_again(monkeypatch):
+    from qspace.llm import sentencepiece_bpe
+
+    monkeypatch.setattr(sentencepiece_bpe, "CACHE_ENTRIES", 10)
+    memory = sentencepiece_bpe.Memory(lambda keys: [k.encode() for k in keys])
+    words = [f"w{i}" for i in range(100)]
+    for met in range(4):
+        assert memory.get(words) == [w.encode() for w in words]
+        assert len(memory.young) <= 10 and len(memory.old) <= 10
+        assert bool(memory.young) == (met > 0)
+    assert memory.get(words[-10:]) == [w.encode() for w in words[-10:]]
+
+
+def test_heaps_are_collected_before_each_stage(spark, monkeypatch):
+    import corpus_pipeline
+    from qspace.llm.common import collect_heaps
+
+    held_by_nothing = spark.sparkContext._jvm.java.lang.ref.WeakReference("a string that only the JVM has")
+    assert collect_heaps(spark) == 1 and held_by_nothing.get() is None
+
+    def begun(session):
+        raise InterruptedError
+
+    monkeypatch.setattr(corpus_pipeline, "collect_heaps", begun)
+    for _, step in corpus_pipeline.STAGES:
+        with pytest.raises(InterruptedError):
+            step(spark, None, "")
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
