@@ -35,15 +35,19 @@ END_ID = 2
 #: Ids in the rolling hash; a chunk ends, on average, after 2**BITS ids, and has at least LEAST and at most MOST of them.
 ROLL, BITS, LEAST, MOST = 8, 9, 64, 4096
 KEY = 16
+#: Ids hashed at a time, as many as a processor's cache holds.
+BLOCK = 1 << 14
 #: Words and units in each generation of a worker's memory, and chunk keys that a task remembers as sent; all bound memory only.
 CACHE_WORDS, CACHE_UNITS, CACHE_KEYS = 250_000, 500_000, 100_000
 #: Bytes of texts that are encoded together.
-SOME = 6_000_000
+SOME = 12_000_000
 #: Words without any of the other characters consist of units that are encoded each by itself: letters, digits, runs of other signs.
 OTHER = re.compile(r"[^A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~\n]")
 UNITS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+|\n")
 #: Signs that make a unit of their own after letters.
 SIGNS = frozenset(".,;:!?")
+#: All characters of units.
+ALPHABET = "".join(c for c in map(chr, range(0x21, 0x100)) if c != "\n" and UNITS.fullmatch(c))
 SEPARATOR = "<|startoftext|>"
 _GEAR = np.random.default_rng(5).integers(0, 2**64, 1 << 16, dtype=np.uint64)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, j, 2**64) for j in range(ROLL)], np.uint64)
@@ -69,6 +73,9 @@ class Words:
         for piece, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends[i] = piece.endswith("</w>")
         self.mark = np.iinfo(self.type).max  # no id
+        self.model = self.tokenizer.model
+        self.bytes_of = [self._packed([i]) for i in range(vocabulary_size)]
+        self.direct = self._goes_direct()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
@@ -80,6 +87,33 @@ class Words:
     def _encoded(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
 
+    def _goes_direct(self) -> bool:
+        """Whether the model alone encodes units: the normalizer leaves their characters as they are and the pre-tokenizer replaces each
+        by itself, which is tried with all of them, alone and in runs. The model's own memory is of no use to units that are asked for once."""
+        normalizer, cutter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        if normalizer is not None and any(normalizer.normalize_str(c) != c for c in (*ALPHABET, ALPHABET)):
+            return False
+        self.replaced = {}
+        for c in ALPHABET:
+            parts = cutter.pre_tokenize_str(c) if cutter is not None else [(c, None)]
+            if len(parts) != 1:
+                return False
+            if parts[0][0] != c:
+                self.replaced[ord(c)] = parts[0][0]
+        runs = [u * n for u in UNITS.findall(ALPHABET) for n in (1, 2)]
+        tried = [*ALPHABET, *runs, *(u[::-1] for u in runs), *(c * 2 for c in ALPHABET if not c.isdigit())]
+        tried = [u for u in tried if UNITS.fullmatch(u)]
+        if any(self._unit(u) != self._encoded(u).tobytes() for u in tried):
+            return False
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)
+        return True
+
+    def _unit(self, unit: str) -> bytes:
+        """The ids of a unit by the model alone."""
+        bytes_of = self.bytes_of
+        return b"".join([bytes_of[t.id] for t in self.model.tokenize(unit if unit.isascii() else unit.translate(self.replaced))])
+
     def _cut(self, ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[bytes]:
         raw, size = ids.tobytes(), ids.itemsize
         return [raw[a:b] for a, b in zip((starts * size).tolist(), (stops * size).tolist(), strict=True)]
@@ -91,16 +125,22 @@ class Words:
         self.young.update(zip(words, self._cut(ids, np.concatenate([[0], stops[:-1] + 1]), stops), strict=True))
 
     def of_units(self, parts: list[str]) -> list[bytes]:
-        """The ids of units, a mark for line feeds. New ones are encoded together, parted by spaces; each gives one piece that ends a word."""
+        """The ids of units, a mark for line feeds. New ones go to the model, or are encoded together, parted by
+        spaces; each gives one piece that ends a word."""
         if len(self.units) > CACHE_UNITS or not self.units:
             self.old_units, self.units = self.units, {"\n": self._packed([self.mark])}
         found = list(map(self.units.get, parts))
-        fresh = {p for p, v in zip(parts, found, strict=True) if v is None}
-        if not fresh:
+        lacking = [i for i, v in enumerate(found) if v is None]
+        if not lacking:
             return found
-        known = fresh.intersection(self.old_units)
-        self.units.update([(u, self.old_units[u]) for u in known])
+        fresh = {parts[i] for i in lacking}
+        old = self.old_units
+        known = [u for u in fresh if u in old]  # intersection() would go through all of old
+        self.units.update([(u, old[u]) for u in known])
         fresh = list(fresh.difference(known))
+        if self.direct:
+            self.units.update(zip(fresh, map(self._unit, fresh), strict=True))
+            fresh = []
         for i in range(0, len(fresh), 4096):
             some = fresh[i : i + 4096]
             ids = self._encoded(" ".join(some))
@@ -109,7 +149,10 @@ class Words:
                 self.units.update(zip(some, self._cut(ids, np.concatenate([[0], stops[:-1]]), stops), strict=True))
             else:
                 self.units.update((u, self._encoded(u).tobytes()) for u in some)
-        return [self.units[p] if v is None else v for p, v in zip(parts, found, strict=True)]
+        units = self.units
+        for i in lacking:
+            found[i] = units[parts[i]]
+        return found
 
     def _by_separator(self, words: list[str]) -> None:
         for i in range(0, len(words), 4096):
@@ -204,11 +247,16 @@ MEMORIES[__name__] = words_of
 
 def borders(ids: np.ndarray) -> np.ndarray:
     """Places after ids at which the rolling hash has BITS zeros. LEAST ids go before a cut, so what is before a document never matters."""
-    n, gear = len(ids), _GEAR[ids & 0xFFFF]
-    h = np.zeros(n, np.uint64)
-    for j in range(min(ROLL, n)):
-        h[j:] += gear[: n - j] * _POWERS[j]
-    return np.flatnonzero(h >> np.uint64(64 - BITS) == 0) + 1
+    found = [np.zeros(0, np.int64)]
+    for low in range(0, len(ids), BLOCK):
+        first = max(0, low - ROLL + 1)  # a block begins with what rolls into it
+        gear = _GEAR[ids[first : low + BLOCK] & 0xFFFF]
+        n = len(gear)
+        h = np.zeros(n, np.uint64)
+        for j in range(min(ROLL, n)):
+            h[j:] += gear[: n - j] * _POWERS[j]
+        found.append(np.flatnonzero(h[low - first :] >> np.uint64(64 - BITS) == 0) + low + 1)
+    return np.concatenate(found)
 
 
 def cuts(found: list[int], start: int, stop: int) -> list[int]:

@@ -364,6 +364,30 @@ def test_ids_of_four_bytes(spark, tmp_path, tokenizer):
     assert got["ids_crc32"] == zlib.crc32(np.array(got["ids"], "<u4").tobytes())
 
 
+def test_units_go_to_the_model_alone(tokenizer, monkeypatch):
+    words = token_store.Words(token_store.default_vocabulary())
+    units = ["straße", "a" * 300, "7", "?!", "été", "ÿ".lower(), "<", "word", *token_store.ALPHABET]
+    expected = [np.asarray(tokenizer.encode(u, add_special_tokens=False).ids, words.type).tobytes() for u in units]
+
+    def never(text):
+        raise AssertionError(text)
+
+    monkeypatch.setattr(words, "_encoded", never)
+    assert words.of_units(units) == expected
+    monkeypatch.undo()
+    words.direct, words.units = False, {}
+    assert words.of_units(units) == expected
+
+
+def test_borders_do_not_depend_on_blocks(monkeypatch):
+    ids = np.random.default_rng(3).integers(0, 49_000, 40_000).astype(np.uint16)
+    monkeypatch.setattr(token_store, "BLOCK", len(ids))
+    whole = token_store.borders(ids)
+    for block in (1, 5, 1000, 1 << 14):
+        monkeypatch.setattr(token_store, "BLOCK", block)
+        assert len(whole) > 20 and token_store.borders(ids).tolist() == whole.tolist()
+
+
 def test_merkle_is_the_tree_of_levels():
     node = lambda *x: hashlib.blake2b(b"\1" + b"".join(x), digest_size=token_store.KEY).digest()
     for n in range(1, 40):
